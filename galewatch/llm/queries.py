@@ -5,17 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints
-from .common import read_table
+from . import fingerprints, pieces, quality
+from .common import read_table, sha256_hex
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; never copied into this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        sha256_hex(F.col("decoded")).alias("decoded_sha256"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),
+    )
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints,)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_sentencepiece, op3_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
