@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, pieces, quality
+from . import fingerprints, mixing, ngram_join, pieces, pii, quality, rules, url_filters
 from .common import read_table, sha256_hex
 
 
@@ -38,8 +38,36 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("found", lambda x: x["base"])
+    of_kind = lambda i: lambda x: x["base"] & (x["kind"] == i)
+    kinds = [F.size(F.filter("found", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *kinds, sha256_hex(pii.listing(base)).alias("base_sha256"), pii.listing(F.col("found")).alias("spans"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(docs, repetition=2.0).select("doc_id", "source", "pass", "place")
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_sentencepiece, op3_quality_classifier)}
+    return {f.__name__: f for f in (
+        op1_document_fingerprints, op2_sentencepiece, op3_quality_classifier, op4_pii, op7_quality_rules,
+        op8_mix_sources, op9_ngram_jaccard_join, op10_url_filters,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
