@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, ngram_join, pieces, pii, quality, rules, url_filters
+from . import fingerprints, mixing, ngram_join, pieces, pii, quality, rules, substring_dedup, token_counts, url_filters
 from .common import read_table, sha256_hex
 
 
@@ -46,6 +46,17 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, sha256_hex(pii.listing(base)).alias("base_sha256"), pii.listing(F.col("found")).alias("spans"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.tokens_by_section(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -65,7 +76,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_document_fingerprints, op2_sentencepiece, op3_quality_classifier, op4_pii, op7_quality_rules,
+        op1_document_fingerprints, op2_sentencepiece, op3_quality_classifier, op4_pii,
+        op5_token_counts, op6_substring_dedup, op7_quality_rules,
         op8_mix_sources, op9_ngram_jaccard_join, op10_url_filters,
     )}
 
