@@ -7,7 +7,7 @@ host whose distrust outweighs its trust is blocked.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import persist_table
@@ -61,15 +61,15 @@ def host_edges(pages: DataFrame, host: Column) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank over (src, dst, n) from (host, seed weight); returns (host, rank).
+def propagate(edges: DataFrame, seeds: DataFrame, total: float, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """Personalised PageRank over (src, dst, n) from (host, weight), weights divided by ``total``;
+    returns (host, rank).
 
     What a host without links would pass on is given up, not spread, so ranks only decay there.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     links = persist_table(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    total = seeds.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("t")).first()["t"]
-    base = seeds.groupBy("host").agg((F.sum("weight") / (total or 1.0)).alias("seed"))
+    base = seeds.groupBy("host").agg((F.sum("weight") / total).alias("seed"))
     rank = base.select("host", F.col("seed").alias("rank"))
     if links.isEmpty():
         return rank.select("host", (F.col("rank") * (1 - damping)).alias("rank"))
@@ -98,9 +98,10 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     seeds = judged.where("hit is not null").groupBy("host", F.col("hit.verdict").alias("verdict")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     seeds = persist_table(seeds)
     edges = persist_table(host_edges(pages.select("url", "html"), host))
-    trust = propagate(edges, seeds.where("verdict = 'allow'"))
+    total = seeds.agg(F.sum("weight").alias("t")).first()["t"] or 1.0  # one scale for trust and distrust
+    trust = propagate(edges, seeds.where("verdict = 'allow'"), total)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(back, seeds.where("verdict = 'block'"))
+    distrust = propagate(back, seeds.where("verdict = 'block'"), total)
     known = (
         trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust"))
         .unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust")))
