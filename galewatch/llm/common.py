@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -55,18 +57,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers where their path does not already hold it."""
-    import os
-    import shutil
-
-    import galewatch
-
-    home = os.path.dirname(os.path.dirname(os.path.abspath(galewatch.__file__)))
-    if home in {os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}:
-        return
-    sc = spark.sparkContext
-    if not any(os.path.basename(f) == "galewatch.zip" for f in sc.listFiles):
-        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "galewatch"), "zip", home, "galewatch"))
