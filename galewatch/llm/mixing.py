@@ -8,6 +8,8 @@ that takes documents in a hashed order, block by block, until its tokens are spe
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,6 @@ def find_exponent(sizes: DataFrame, target_entropy: float | None = None, repetit
             )
             .collect()
         )
-        import math
-
         if not rows:
             return 1.0
 
@@ -100,7 +100,9 @@ def mix_sources(docs: DataFrame, budget_tokens: float | None = None, target_entr
         (F.lit(budget) * raw / F.lit(sums["z"] or 1.0)).alias("_quota"),
         F.col("tokens").alias("_total"),
     )
-    plan = plan.withColumn("_full", F.floor(F.col("_passes") + 1e-9).cast("int")).withColumn("_rest", F.greatest(F.lit(0.0), F.col("_quota") - F.col("_full") * F.col("_total")))
+    plan = plan.withColumn("_full", F.floor(F.col("_passes") + 1e-9).cast("int"))
+    spare = F.col("_quota") - F.col("_full") * F.col("_total")
+    plan = plan.withColumn("_rest", F.when(spare > 1e-6 * F.col("_total"), spare).otherwise(0.0))  # rounding is no pass
     placed = row.join(F.broadcast(plan) if sizes.count() <= 10_000 else plan, F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.withColumn("_block", F.pmod(F.col("_spread"), F.col("_blocks")))
     # tokens before each block of a source: sums of sums, a row for each block

@@ -151,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ranke
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     got = with_features(joined).groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("features").alias("features")).limit(fit_rows + 1).collect()
     got.sort(key=lambda r: r["doc_id"])
-    x = np.array([r["features"] for r in got], float).reshape(len(got), -1)
+    x = np.array([r["features"] for r in got], float).reshape(len(got), len(FEATURES))
     return fit_ranker(x, np.array([r["quality"] for r in got], int))
 
 

@@ -1,0 +1,368 @@
+"""The corpus operators against brute force, on small fixtures with awkward rows."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from galewatch.llm import fingerprints, mixing, ngram_join, pieces, pii, quality, queries, rules, substring_dedup, token_counts, url_filters
+
+BLANK = r"[\x20\x09-\x0D]+"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `set` string, gram long, b string"
+RNG = random.Random(11)
+VOCABULARY = ["the", "of", "and", *["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 8))) for _ in range(400)]]
+
+
+def prose(n, rng=RNG):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+def words_of(text):
+    return [w for w in re.split(BLANK, text or "") if w]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base, passage = prose(200), prose(70)
+    near = base.split(" ")
+    near[50] = "changed"
+    out = [None, "", "   \n\t ", "one", "two words", base, base, " ".join(near), base.upper(), prose(30) + " " + passage + " " + prose(40), prose(60) + " " + passage, prose(120), "x" * 5000]
+    out += ["é🎉 " * 30, "a\n\nb\nb\nb", "\x00 nul", prose(6000), "▁ mark  two", prose(25), "line one here\nline one here\nother", prose(5), "tab\tand\x0bvt"]
+    return dict(enumerate(out))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, None, "clash", 1, "x") for i, t in texts.items()]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# fingerprints
+
+
+def test_edited_text_and_equal_fingerprints(docs, texts):
+    got = {r.doc_id: r for r in fingerprints.document_fingerprints(docs).collect()}
+    ids = sorted(texts, reverse=True)
+    for k, i in enumerate(ids):
+        own, following = texts[i] or "", texts[ids[(k + 1) % len(ids)]] or ""
+        third = len(own) // 3
+        assert got[i].edited_sha256 == sha(own[: len(own) - third] + following[:third])
+        assert got[i].n_chars == len(own)
+    assert got[5].fingerprint == got[6].fingerprint != got[11].fingerprint
+    assert got[0].fingerprint == got[1].fingerprint == got[2].fingerprint == ""
+    assert got[6].near_next == 1.0 and got[1].near_edited == 1.0 and got[3].near_next == 0.0
+
+
+def test_collision_rate_is_generalised_jaccard(spark):
+    a, b = {1: 4, 2: 1, 3: 2, 4: 7}, {1: 1, 2: 1, 5: 3, 4: 6}
+    rows = [(0, t, w) for t, w in a.items()] + [(1, t, w) for t, w in b.items()]
+    df = spark.createDataFrame(rows, "k int, term long, weight int").withColumn("term", F.xxhash64("term"))
+    s = {r.k: r.samples for r in fingerprints.sketch(df, ["k"], 600).collect()}
+    want = sum(min(a.get(t, 0), b.get(t, 0)) for t in {*a, *b}) / sum(max(a.get(t, 0), b.get(t, 0)) for t in {*a, *b})
+    assert np.mean(np.array(s[0]) == np.array(s[1])) == pytest.approx(want, abs=4 * math.sqrt(want * (1 - want) / 600))
+
+
+def test_fingerprints_of_nothing_one_and_repeated_rows(spark, empty):
+    assert fingerprints.document_fingerprints(empty).count() == 0
+    one = spark.createDataFrame([(7, "a b c")], "doc_id long, text string")
+    assert fingerprints.document_fingerprints(one).first().near_next == 1.0
+    assert fingerprints.document_fingerprints(one.unionByName(one)).count() == 2
+
+
+def test_next_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_DOCS", 3)
+    ids = sorted(RNG.sample(range(10**9), 150), reverse=True)
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df).where("guest = 0").collect()}
+    assert got == {i: f"text {ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
+
+
+# SentencePiece
+
+
+def test_pieces_equal_the_library(docs, texts, empty):
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    for r in pieces.encode_documents(docs, path).collect():
+        t = texts[r.doc_id] or ""
+        ids = sp.encode(t)
+        assert r.ids == ids and r.decoded == sp.decode(ids)
+        data = t.encode()
+        covered = b"".join(data[a:b] for a, b in zip(r.begins, r.ends, strict=True))
+        assert covered == data and len(r.begins) == len(ids)
+    assert pieces.encode_documents(empty, path).count() == 0
+
+
+def test_character_map_follows_the_longest_prefix():
+    """A double array for a -> x, ab -> y, built here by hand."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    try:
+        made = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(made.serialized_model_proto())
+    except (AttributeError, RuntimeError, TypeError):
+        pytest.skip("the library offers no normaliser here")
+    m = pieces.CharacterMap(proto.normalizer_spec.precompiled_charsmap)
+    for text in ("ﬁ", "①", "Å", "㍿", "½"):
+        hit = m.longest(text.encode(), 0)
+        assert hit and hit[0] == len(text.encode()) and hit[1].decode() == made.normalize(text).strip("▁ ")
+    assert m.longest(b"plain", 0) is None
+
+
+# quality classifier
+
+
+def test_ranker_orders_and_cuts():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, len(quality.FEATURES)))
+    y = (x[:, 1] + 0.5 * x[:, 4] > -0.8).astype(int)
+    r = quality.fit_ranker(x, y)
+    s = r.score(x)
+    assert ((s >= 0.3) == (y == 1)).mean() > 0.95 and 0 <= s.min() and s.max() <= 1
+    only = quality.fit_ranker(x[:5], np.ones(5, int))
+    assert (only.score(x) >= 0.3).all()
+    assert (quality.fit_ranker(np.zeros((0, 0)), np.zeros(0, int)).score(x) >= 0.3).all()
+
+
+def test_quality_is_learned_outside_the_held_out_fold(spark, empty):
+    rows = [(i, prose(40) if i % 4 else " ".join(w.upper() + "!!" for w in prose(40).split())) for i in range(300)]
+    df = spark.createDataFrame([*rows, (300, None), (301, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(300)] + [(5, None)], "doc_id long, quality int")
+    import zlib
+
+    got = quality.classify_quality(df, labels).collect()
+    assert len(got) == 302
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+        assert r.doc_id > 299 or r.predicted == int(r.doc_id % 4 > 0)
+    assert quality.classify_quality(empty, labels).count() == 0
+    assert {r.predicted for r in quality.classify_quality(df, labels.where("false")).collect()} == {1}
+
+
+# personal data
+
+
+def luhn(digits):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m)) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_equal_brute_force(spark, empty):
+    rng = random.Random(2)
+    texts = {i: "".join(rng.choice("ab.@-_%+ 0123456789().\n1.1.1.1+é🎉") for _ in range(rng.randint(0, 200))) for i in range(200)}
+    texts |= {900: "a@b.c@d.e a@b.c_d@e.fg 1.2.3.4.5.6.7.8 4111 1111 1111 1111 +1 (2)3-4567890123", 901: "x@" + "a." * 20000, 902: "1" * 9000, 903: "a" * 50000, 904: None, 905: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in pii.find_spans(df).collect():
+        assert [(s.start, s.kind, s.end) for s in r.found if s.base] == base_spans(texts[r.doc_id] or "")
+    assert pii.find_spans(empty).count() == 0
+
+
+def test_looser_spans_and_redaction(spark):
+    t = "call 415-555-1234 or mail joe (at) site (dot) com or a.b@c.org at 10.0.0.1"
+    df = spark.createDataFrame([(1, t), (2, t), (3, "clean text only")], "doc_id long, text string")
+    found = pii.find_spans(df.withColumn("t", F.col("text")), "t")
+    r = {x.doc_id: x for x in found.select("*", pii.redact(F.col("text"), F.col("found")).alias("clean")).collect()}
+    assert {s.kind for s in r[1].found if s.base} == {0, 1}
+    assert r[3].clean == "clean text only" and r[1].clean.endswith("or <email> at <ip>")
+
+
+# token counts
+
+
+def test_tokens_are_dealt_whole(docs, texts, empty):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    total = {}
+    for r in token_counts.tokens_by_section(docs, path, public_tokenizers.PATTERN).collect():
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
+    assert total == {i: len(enc.encode_ordinary(t)) for i, t in texts.items() if t}
+    fields = token_counts.tokens_by_section(docs, path, public_tokenizers.PATTERN, ("lang", "text")).where("doc_id = 5").collect()
+    assert sorted(r.field for r in fields) == ["lang", "text"]
+    assert token_counts.tokens_by_section(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_crossing_token_goes_where_most_of_it_lies():
+    home, crosses = token_counts.deal(np.array([2, 6, 9, 11]), np.array([0, 3, 10, 11]))
+    assert home.tolist() == [0, 1, 1, 1] and crosses.tolist() == [False, True, False, True]
+
+
+# n-gram join
+
+
+def shingles(text):
+    w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def components(texts):
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+def test_groups_equal_brute_force(spark, docs, texts, empty):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicate_groups(docs).collect()}
+    assert got == components(texts)
+    assert ngram_join.near_duplicate_groups(empty).count() == 0
+
+
+def test_chains_of_near_copies(spark):
+    """Each text differs a little from the one before: neighbours link, far ones do not."""
+    rng, texts = random.Random(4), {}
+    w = prose(80, rng).split(" ")
+    for i in range(40):
+        texts[(i * 17) % 41] = " ".join(w)
+        w[rng.randrange(len(w))] = f"new{i}"
+    for i in range(100, 140):  # one common line, unlike otherwise
+        texts[i] = "this very line is in a great many of the documents here " + prose(6 + i % 5, rng)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicate_groups(df).collect()}
+    assert got == components(texts)
+
+
+def test_connect_follows_long_chains(spark):
+    n = 60
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000)], "a long, b long")
+    got = {r.node: r.root for r in ngram_join.connect(edges).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+# substring dedup
+
+
+def test_compact_windows_hold_their_minimum():
+    h = np.array([RNG.randrange(2**60) for _ in range(300)], np.uint64)
+    spans = substring_dedup.compact_windows(h, 20)
+    for s in range(300 - 19):
+        c = s + int(h[s : s + 20].argmin())
+        assert any(l <= s and s + 19 <= r and c == m for l, m, r in spans)
+
+
+def test_shared_passages_are_found_and_others_left(spark, docs, texts, empty):
+    got = {r.doc_id for r in substring_dedup.repeated_passages(docs).collect()}
+    windows = {}
+    for i, t in texts.items():
+        w = words_of((t or "").lower())
+        for k in range(len(w) - 49):
+            windows.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    exact = {i for v in windows.values() if len(v) > 1 for i in v}
+    assert exact and exact <= got and got <= exact | {5, 6, 7, 8}
+    assert substring_dedup.repeated_passages(empty).count() == 0
+
+
+# quality rules
+
+
+def counted(t):
+    w = words_of(t)
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen, cover = {}, set()
+    for i in range(len(w) - 7):
+        seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+    for at in seen.values():
+        if len(at) > 1:
+            cover |= {k for i in at for k in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover)
+
+
+def test_statistics_equal_brute_force(spark, docs, texts, empty):
+    extra = {500: (prose(12) + " ") * 6, 501: prose(30) + "\n" + (prose(9) + "\n") * 3, 502: "# a | b\n" * 40}
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(extra.items()), "doc_id long, text string"))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for r in rules.apply_rules(df, labels).collect():
+        want = counted((texts | extra)[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and r.kept == (not r.base_failed)
+    assert rules.apply_rules(empty, labels).count() == 0
+
+
+def test_rules_learn_thresholds(spark):
+    rows = [(i, prose(40) if i % 4 else " ".join(w + "%%%" for w in prose(40).split())) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(240)], "doc_id long, quality int")
+    assert all(r.kept == (r.doc_id % 4 > 0) for r in rules.apply_rules(df, labels).collect())
+
+
+# mixing
+
+
+def test_mixing_keeps_every_document_and_meets_its_limit(spark, empty):
+    rows = [(i, "big" if i % 10 else None, prose(20)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix_sources(df, repetition=2.0).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("u")).collect()
+    assert {r.source: (r.n, r.u) for r in got} == {"big": (360, 360), None: (80, 40)}
+    assert mixing.mix_sources(empty).count() == 0
+    half = mixing.mix_sources(df, budget_tokens=200 * 20.0, repetition=1.0)
+    assert half.count() == pytest.approx(200, abs=2) and half.where("pass > 0").count() == 0
+
+
+def test_exponent_meets_an_entropy(spark):
+    sizes = spark.createDataFrame([("a", 1, 1000), ("b", 1, 100), ("c", 1, 10)], "source string, docs long, tokens long")
+    e = mixing.find_exponent(sizes, target_entropy=0.8)
+    p = np.array([1000.0, 100.0, 10.0]) ** e
+    p /= p.sum()
+    assert -(p * np.log(p)).sum() / np.log(3) == pytest.approx(0.8, abs=1e-4)
+
+
+# URLs
+
+URLS = ["http://WWW.Example.org/es/1?q#f", "https://a.example.org/en/12", "https://example.org/en/2", "http://x.com/fr/", "x.com/fr/", None, "ftp://h", "http://x.com/de/1", "http://notorg/", "a://b.org/?x", "http://x.com#/fr/"]
+
+
+def test_rules_by_host_and_path(spark, empty):
+    df = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(URLS)], "page_id long, url string, html string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.filter_urls(df).collect()}
+    assert got[0] == ("www.example.org", "/es/1", "example.org/es/", "block")
+    assert got[1][2:] == ("example.org/en/1", "block") and got[2][2:] == ("org/", "allow") and got[3][2:] == ("com/fr/", "allow")
+    assert got[4][:3] == got[5][:3] == ("", "", None) and got[6][:3] == ("h", "", None) and got[7][2:] == ("com/de/", "block")
+    assert got[8][2] is None and got[9][:3] == ("b.org", "/", "org/") and got[10][:3] == ("x.com", "", None)
+
+
+def test_distrust_runs_against_links_and_trust_with_them(spark):
+    link = lambda h: f'<a href="http://{h}/x">'
+    rows = [(0, "http://bad.com/de/1", ""), (1, "http://friend.net/1", link("bad.com")), (2, "http://good.org/", link("liked.net")), (3, "http://liked.net/1", ""), (4, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filters.filter_urls(df).collect()}
+    assert got[1].verdict == "block" and got[3].verdict == "allow" and got[3].trust > 0 and got[4].verdict == "allow"
+    assert url_filters.filter_urls(df.where("false")).count() == 0
