@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, ngram_join, pieces, pii, quality, rules, substring_dedup, token_counts, url_filters
+from . import fingerprints, mixing, ngram_join, oracles, pieces, pii, quality, rules, substring_dedup, token_counts, url_filters
 from .common import read_table, sha256_hex
 
 
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_ngram_jaccard_join": oracles.NGRAM_GROUPS, "op10_url_filters": oracles.URL_VERDICTS}
