@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import detection, grids, series
+from .plans import detection, grids, series, serving
 
-PLANS = (detection, series, grids)
+PLANS = (detection, series, grids, serving)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
