@@ -58,11 +58,20 @@ def brier_skill(scores: DataFrame) -> DataFrame:
     return b.select("brier", "base_rate", F.when(ref > 0, 1 - F.col("brier") / ref).alias("skill"))
 
 
-def roc_auc(scores: DataFrame) -> DataFrame:
-    """By average ranks of distinct scores, summed before they are ordered; NULL with one class."""
+def roc_auc(scores: DataFrame, bins: int = 1024) -> DataFrame:
+    """By average ranks; NULL with one class.
+
+    Equal scores are summed first. Ranks then come in two steps, so that no window holds more than
+    a bin's scores: rows before a bin (a table of ``bins`` rows), and before a score inside its bin.
+    """
     by_p = scores.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_p.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    by_p = by_p.withColumn("bin", F.least(F.greatest(F.floor(F.col("p") * bins), F.lit(0)), F.lit(bins - 1)))
+    past = (Window.unboundedPreceding, -1)
+    totals = by_p.groupBy("bin").agg(F.sum("n").alias("in_bin"))
+    ahead = totals.select("bin", F.coalesce(F.sum("in_bin").over(Window.orderBy("bin").rowsBetween(*past)), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("bin").orderBy("p").rowsBetween(*past)), F.lit(0))
+    ranked = by_p.withColumn("inside", inside).join(F.broadcast(ahead), "bin")  # at most ``bins`` rows
+    ranked = ranked.withColumn("rank", F.col("ahead") + F.col("inside") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("a"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("b"))
     return s.select(F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("r") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b"))).alias("auc"))
 
