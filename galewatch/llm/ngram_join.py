@@ -3,12 +3,14 @@
 Documents with equal shingle sets form a class first; only one of each class is compared. A set's
 shingles are ordered from rare to frequent (by how often their hash bucket occurs in the whole
 corpus: any order that all sets share is right, a rarer prefix only means fewer candidates). Two
-sets that reach the threshold share a shingle of their prefixes; length and position filters follow
-from the counts of shared prefix shingles, a suffix filter compares histograms of what lies behind,
-and every remaining pair is verified once on the full sets.
+sets of sizes a and b that reach the threshold with an intersection of k share SHARED of their first
+a - k + SHARED and b - k + SHARED shingles: the length and position filters. The suffix filter bounds
+the Hamming distance of the sets from below by that of their bitmaps. Every pair that is left is
+verified once on the full sets.
 
 Links are wanted as groups, not as all pairs of a group. So two cheap rounds first compare every
-set with one representative of each of its prefix shingles, and groups are merged; the last round
+set with representatives of its prefix shingles (first the sets that have most shingles in common
+with others, which are likely in the middle of a group), and groups are merged; the last round
 compares exactly those sets of a prefix shingle that are not yet in one group. No candidate is
 dropped.
 """
@@ -20,20 +22,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import persist_table
+from .common import persist_table, shuffle_partitions
 
 WORDS, PERCENT = 5, 75
 #: Buckets of the corpus-wide shingle counts, 4 bytes each: what is broadcast is this size always.
-BUCKETS = 1 << 17
-#: Bins of the suffix histograms.
-BINS = 48
+#: They are summed in PARTS rows from each task.
+BUCKETS, PARTS = 1 << 21, 512
+#: Representatives that a set is compared with in each of the first rounds.
+HUBS = 2
+#: Shingles that two sets must share near the start of their order, if they are large enough.
+SHARED = 3
+#: Bits of a set's bitmap.
+BITS = 1024
 #: Ids in a broadcast, at most; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 REMEMBERED = 400_000
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BLANK = bytes([9, 10, 11, 12, 13])
 _TO_SPACE = bytes.maketrans(bytes(range(65, 91)) + _BLANK, bytes(range(97, 123)) + b" " * 5)
@@ -85,8 +91,8 @@ def needed(a: Column, b: Column, percent: int = PERCENT) -> Column:
     return F.ceil(((a + b) * percent).cast("double") / (100 + percent)).cast("long")
 
 
-def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
-    return n - -(-percent * n // 100) + 1
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return min(n, n - -(-percent * n // 100) + SHARED)
 
 
 def shingle_counts(docs: DataFrame, column: str = "text", n: int = WORDS) -> np.ndarray:
@@ -94,23 +100,36 @@ def shingle_counts(docs: DataFrame, column: str = "text", n: int = WORDS) -> np.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, total = Shingler(n), np.zeros(BUCKETS, np.int64)
+        held, size = [], 0
         for batch in batches:
-            held, size = [], 0
             for t in batch.column(0):
                 held.append((made.shingles(t.as_py()) & np.uint64(BUCKETS - 1)).astype(np.int64))
                 size += len(held[-1])
-                if size > 500_000:
+                if size > 2_000_000:
                     total += np.bincount(np.concatenate(held), minlength=BUCKETS)
                     held, size = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        yield rows(total, range(PARTS))
 
-    rows = docs.select(column).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(BUCKETS, np.int64)
-    total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return total
+    def rows(total: np.ndarray, parts) -> pa.RecordBatch:
+        cut = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(PARTS, -1)
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([cut[p].tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((PARTS, BUCKETS // PARTS), np.int64), set()
+        for batch in batches:
+            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[p] += np.frombuffer(c, np.int32)
+                seen.add(p)
+        yield rows(total.ravel(), sorted(seen))
+
+    schema = "part int, counts binary"
+    spread = docs.select(column).mapInArrow(count, schema).repartition(shuffle_partitions(docs.sparkSession), "part")
+    total = np.zeros((PARTS, BUCKETS // PARTS), np.int64)
+    for r in spread.mapInArrow(add, schema).collect():  # BUCKETS numbers in all
+        total[r["part"]] += np.frombuffer(r["counts"], np.int32)
+    return total.ravel()
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -119,7 +138,7 @@ def _signed(h: np.ndarray) -> pa.Array:
 
 def signatures(docs: DataFrame, counts: np.ndarray, column: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, set_a, set_b (hashes of the set), prefix (array, rare first),
-    suffix (histogram of the shingles behind the prefix, a byte each)."""
+    bits (bitmap of the set)."""
     rank = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,17 +153,17 @@ def signatures(docs: DataFrame, counts: np.ndarray, column: str = "text", n: int
                 order = np.lexsort((h, often[(h & np.uint64(BUCKETS - 1)).astype(np.int64)])) if len(h) else []
                 p = prefix_length(len(h), percent) if len(h) else 0
                 prefixes.append(h[order[:p]] if len(h) else h)
-                tail = h[order[p:]] if len(h) else h
-                bins = np.bincount(((tail >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-                tails.append(np.minimum(bins, 255).astype(np.uint8).tobytes() if bins.max(initial=0) < 255 else None)
+                bits = np.zeros(BITS, np.uint8)
+                bits[((h >> np.uint64(40)) % np.uint64(BITS)).astype(np.int64)] = 1
+                tails.append(np.packbits(bits).tobytes())
             offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])], pa.int32())
             flat = _signed(np.concatenate(prefixes)) if prefixes else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), _signed(np.array(a, np.uint64)), _signed(np.array(b, np.uint64)), pa.ListArray.from_arrays(offsets, flat), pa.array(tails, pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "prefix", "suffix"],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "prefix", "bits"],
             )
 
-    return docs.select("doc_id", column).mapInArrow(make, "doc_id long, n_shingles long, set_a long, set_b long, prefix array<long>, suffix binary")
+    return docs.select("doc_id", column).mapInArrow(make, "doc_id long, n_shingles long, set_a long, set_b long, prefix array<long>, bits binary")
 
 
 def connect(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -170,7 +189,8 @@ def connect(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return roots
 
 
-def _few(ids: DataFrame) -> tuple[DataFrame, bool]:
+def few(ids: DataFrame) -> tuple[DataFrame, bool]:
+    """Ids marked to be sent to all tasks if they are at most BROADCAST_IDS; and whether there are none."""
     n = ids.count()
     return (F.broadcast(ids) if n <= BROADCAST_IDS else ids), n == 0
 
@@ -178,7 +198,7 @@ def _few(ids: DataFrame) -> tuple[DataFrame, bool]:
 def verify_pairs(pairs: DataFrame, docs: DataFrame, column: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets reach the threshold."""
     pairs = persist_table(pairs)
-    ids, none = _few(persist_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()))
+    ids, none = few(persist_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()))
     if none:
         return pairs.select("a", "b")
 
@@ -207,23 +227,23 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, column: str = "text", n: int
     return persist_table(both.mapInArrow(check, "a long, b long"))
 
 
-def _shared(pairs: DataFrame, percent: int) -> DataFrame:
-    """Candidate rows (a, na, pa, b, nb, pb, i, j; one for each shared prefix shingle) to pairs that can
-    still reach the threshold, by length and by position.
+def _last(n: Column, need: Column) -> Column:
+    """Last place in a set's order that counts for a pair that needs ``need`` shared shingles."""
+    return F.least(n - need + (SHARED - 1), n - 1)
 
-    Behind the last shared prefix shingle, at places i and j, no more than the shorter rest can be
-    shared; where the last one lies is known only inside the prefixes, so the rest counts from the
-    end of the prefix that ends first. The larger of the two bounds is used: it never drops a pair.
+
+def _shared(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, na, b, nb; one for each shared shingle up to the last places) to pairs that can still
+    reach the threshold.
+
+    Of the set whose last place comes first in the common order, every shared shingle up to there
+    is also among the other's and so has a row; behind it no more than the rest of that set can be
+    shared. Which set that is, is not known: the larger rest is allowed for.
     """
-    counted = pairs.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in ("na", "pa", "nb", "pb")], F.min("i").alias("i"), F.min("j").alias("j")
-    )
+    counted = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     need = needed(F.col("na"), F.col("nb"), percent)
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    long_enough = least * 100 >= most * percent
-    first = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))  # from the first shared one on
-    rest = F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return counted.where(long_enough & (F.least(first, F.col("shared") + rest) >= need)).select("a", "b", "shared", "na", "pa", "nb", "pb")
+    rest = F.greatest(F.col("na") - _last(F.col("na"), need), F.col("nb") - _last(F.col("nb"), need)) - 1
+    return counted.where(F.col("shared") + rest >= need).select("a", "b", "na", "nb")
 
 
 def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -244,9 +264,12 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     # prefix shingles of one document only can link nothing
     repeated = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     lists = persist_table(posted.join(repeated, "gram").select("gram", "d", "i"))
-    held = lists.select("d").distinct()
-    size = persist_table(reps.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.size("prefix").alias("p")).join(held, "d", "left_semi"))
-    hubs = persist_table(lists.groupBy("gram").agg(F.min_by("d", F.xxhash64("d")).alias("hub1"), F.min_by("d", F.xxhash64("d", F.lit(1))).alias("hub2")))
+    held = lists.groupBy("d").agg(F.count(F.lit(1)).alias("common"))
+    size = persist_table(reps.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.size("prefix").alias("p")).join(held, "d"))
+    # the share of a set's prefix that others have too: highest in the middle of a group
+    central = F.struct(F.floor(F.col("common") * 64 / F.col("p")), F.xxhash64("d"))
+    placed = lists.select("gram", "d").join(size.select("d", central.alias("rank")), "d")
+    hubs = persist_table(placed.groupBy("gram").agg(F.max_by("d", "rank").alias("hub1"), F.min_by("d", F.xxhash64("d", F.lit(1))).alias("hub2")))
     near = size.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
     far = size.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     roots = None
@@ -254,6 +277,9 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     for hub in ("hub1", "hub2"):
         # a set and the representative of each of its shingles: as many rows as postings at most
         star = lists.join(hubs.select("gram", F.col(hub).alias("b")), "gram").where("d <> b").groupBy(F.col("d").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
+        # those that share most come first; what they leave open is left to the exact round
+        best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+        star = star.withColumn("k", F.row_number().over(best)).where(F.col("k") <= HUBS).drop("k")
         star = star.join(near, "a").join(far, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("shared") * 8 >= F.least("pa", "pb")))
         star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if roots is not None:  # only what the first round left apart
@@ -266,20 +292,20 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     groups = placed.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
     open_grams = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("groups"), F.max_by("root", F.struct("c", "root")).alias("top")).where("groups > 1")
     left = persist_table(placed.join(open_grams.select("gram", "top"), "gram").join(size, "d"))
-    a = left.where("root <> top").select("gram", *[F.col(c).alias(c + "a") for c in ("d", "n", "p", "i", "root")], "top")
-    b = left.select("gram", *[F.col(c).alias(c + "b") for c in ("d", "n", "p", "i", "root")])
+    a = left.where("root <> top").select("gram", *[F.col(c).alias(c + "a") for c in ("d", "n", "i", "root")], "top")
+    b = left.select(F.col("gram").alias("gramb"), *[F.col(c).alias(c + "b") for c in ("d", "n", "i", "root")])
     # each pair once for a shingle: both outside its largest group, or the second inside
     once = (F.col("roota") != F.col("rootb")) & ((F.col("rootb") == F.col("top")) | (F.col("da") < F.col("db")))
-    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    met = a.join(b, "gram").where(once & close)
+    na, nb = F.col("na"), F.col("nb")
+    close = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    need = needed(na, nb, percent)
+    early = (F.col("ia") <= _last(na, need)) & (F.col("ib") <= _last(nb, need))
+    met = a.join(b, (F.col("gram") == F.col("gramb")) & once & close & early)
     swap = F.col("da") > F.col("db")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    rows = met.select(
-        pick("da", "db").alias("a"), pick("db", "da").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"),
-        pick("pa", "pb").alias("pa"), pick("pb", "pa").alias("pb"), pick("ia", "ib").alias("i"), pick("ib", "ia").alias("j"),
-    )
+    rows = met.select(pick("da", "db").alias("a"), pick("db", "da").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"))
     pairs = persist_table(_shared(rows, percent))
-    pairs = _suffix_filter(pairs, signed.select("doc_id", "suffix"), percent)
+    pairs = _suffix_filter(pairs, signed.select("doc_id", "bits"), percent)
     found.append(verify_pairs(pairs.select("a", "b"), docs, column, n, percent))
     edges = found[0].unionByName(found[1]).unionByName(found[2])
     return members, connect(edges)
@@ -292,31 +318,26 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return x.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _suffix_filter(pairs: DataFrame, tails: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs whose histograms behind the prefixes cannot hold what is still needed.
+def _suffix_filter(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs whose bitmaps differ in more bits than the sets may differ in shingles.
 
-    A shingle shared outside both prefixes lies in the same bin of both suffixes; one that is in a
-    prefix of one set and behind that of the other is allowed for by the longer prefix's rest.
+    Sets that reach the threshold have at most (100 - p) / (100 + p) * (a + b) shingles not in
+    common, and each bit that differs stands for at least one of those.
     """
-    ids, none = _few(persist_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()))
+    ids, none = few(persist_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()))
     if none:
         return pairs
-    tails = persist_table(tails.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    rows = pairs.join(tails.select(F.col("doc_id").alias("a"), F.col("suffix").alias("ta")), "a").join(tails.select(F.col("doc_id").alias("b"), F.col("suffix").alias("tb")), "b")
+    bitmaps = persist_table(bitmaps.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    rows = pairs.join(bitmaps.select(F.col("doc_id").alias("a"), F.col("bits").alias("ba")), "a").join(bitmaps.select(F.col("doc_id").alias("b"), F.col("bits").alias("bb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b", "shared", "na", "nb", "pa", "pb")}
-            keep = []
-            for k, (ta, tb) in enumerate(zip(batch.column("ta"), batch.column("tb"), strict=True)):
-                if not ta.is_valid or not tb.is_valid:  # a bin is too full for a byte: no bound
-                    keep.append(True)
-                    continue
-                u, v = (np.frombuffer(t.as_py(), np.uint8) for t in (ta, tb))
-                both = int(np.minimum(u, v).sum())
-                mixed = max(c["pa"][k], c["pb"][k]) - c["shared"][k]
-                need = -(-percent * (c["na"][k] + c["nb"][k]) // (100 + percent))
-                keep.append(bool(c["shared"][k] + both + mixed >= need))
+            if not batch.num_rows:
+                continue
+            both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("ba", "bb")]
+            differ = np.bitwise_count(both[0] ^ both[1]).sum(1).astype(np.int64)
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = differ * (100 + percent) <= sizes * (100 - percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(check, "a long, b long")
