@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import BLANK, sha256_hex, shuffle_partitions
 
 #: Samples in a fingerprint: the standard error of a likeness is at most 1 / (2 * sqrt(SAMPLES)).
-SAMPLES = 24
+SAMPLES = 40
 #: Documents in one id range; ranges are the unit in which "the next document" is looked up.
-RANGE_DOCS = 400
+RANGE_DOCS = 200
 #: Most quantile cuts and most ranges: what is broadcast never exceeds MAX_RANGES rows of 40 bytes.
 MAX_CUTS, MAX_RANGES = 64, 65_536
 
@@ -115,7 +115,8 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         "doc_id",
         "text",
     ).select("to.range", "to.guest", "doc_id", "text").where(F.col("range").isNotNull())  # never null; said here, both readers of the shuffle share one plan
-    partitions = partitions or shuffle_partitions(spark)
+    # three times the usual number: both texts of a document and their word counts share a task's memory
+    partitions = partitions or 3 * shuffle_partitions(spark)
     order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
     return guest.repartition(partitions, "range").select(
         "range",
