@@ -291,6 +291,26 @@ def test_shared_passages_are_found_and_others_left(spark, docs, texts, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def covered(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, roots = {i: set() for i in range(len(texts))}, {}
+    for r in substring_dedup.repeated_passages(df).collect():
+        out[r.doc_id] |= set(range(r.start, r.end))
+        roots[r.doc_id] = r.component_id
+    return out, roots
+
+
+def test_every_occurrence_in_every_document_is_listed(spark):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+    passage, line = fresh(60), fresh(10)
+    twice = [" ".join([fresh(70), passage, fresh(80), passage, fresh(75)]) for _ in range(3)]
+    lines = [fresh(60) + (" " + line) * 30 + " " + fresh(20 + i) for i in range(3)]
+    got, _ = covered(spark, twice + lines)
+    for i in range(3):
+        assert got[i] >= set(range(70, 130)) | set(range(210, 270)) and got[3 + i] >= set(range(60, 360))
+
+
 # quality rules
 
 
