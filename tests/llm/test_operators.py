@@ -324,6 +324,33 @@ def test_a_second_passage_in_the_same_windows_is_found(spark):
         assert roots[i] == roots[i + 1] == roots[i + 2] == i
 
 
+def test_recall_of_near_passages_against_brute_force(spark):
+    rng = random.Random(3)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n)]
+    texts = []
+    for k in range(60):  # 50 to 52 words: one changed, left out or put in
+        p = fresh(50 + k % 3)
+        q, at = list(p), 20 + k % 12
+        q[at : at + (k % 4 > 0)] = fresh(1) if k % 4 < 3 else []
+        texts += [fresh(30) + p + fresh(30), fresh(45) + q + fresh(20)]
+    got, _ = covered(spark, [" ".join(t) for t in texts])
+    found = wanted = docs_found = docs_wanted = 0
+    for k in range(0, len(texts), 2):
+        sets = [[{tuple(t[s + j : s + j + 5]) for j in range(46)} for s in range(len(t) - 49)] for t in texts[k : k + 2]]
+        brute = set(), set()
+        for s, a in enumerate(sets[0]):
+            for t, b in enumerate(sets[1]):
+                if 4 * len(a & b) >= 3 * len(a | b):
+                    brute[0].update(range(s, s + 50))
+                    brute[1].update(range(t, t + 50))
+        for d in (0, 1):
+            assert got[k + d] <= brute[d]
+            found, wanted = found + len(got[k + d]), wanted + len(brute[d])
+            docs_found, docs_wanted = docs_found + bool(got[k + d]), docs_wanted + bool(brute[d])
+    print("documents", docs_found, "of", docs_wanted, "words", found, "of", wanted)
+    assert docs_wanted > 100 and docs_found >= 0.97 * docs_wanted and found >= 0.97 * wanted
+
+
 # quality rules
 
 
