@@ -20,9 +20,14 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-DAMPING, ROUNDS, SAVE_EVERY = 0.85, 12, 6
-#: A host is blocked when distrust > trust * OUTWEIGH + FLOOR.
-OUTWEIGH, FLOOR = 1.0, 1e-12
+DAMPING, SAVE_EVERY = 0.85, 6
+#: Ranks are final when no round adds more than this share of a host's own rank.
+TOLERANCE = 1e-9
+#: A host is blocked when distrust > trust * OUTWEIGH * (1 + MARGIN): a rounding error decides nothing,
+#: whatever the size of the ranks.
+OUTWEIGH, MARGIN = 1.0, 1e-7
+#: Rounds and absolute margin of the SQL oracle only, which can not iterate until nothing changes.
+ROUNDS, FLOOR = 12, 1e-12
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -61,27 +66,29 @@ def host_edges(pages: DataFrame, host: Column) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, total: float, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, total: float, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank over (src, dst, n) from (host, weight), weights divided by ``total``;
     returns (host, rank).
 
-    What a host without links would pass on is given up, not spread, so ranks only decay there.
+    Every round passes on what the last one added, until that is at most ``tolerance`` of the rank of
+    every host: so also all hosts that links lead to are reached. What a host without links would
+    pass on is given up, not spread, so ranks only decay there.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     links = persist_table(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
     base = seeds.groupBy("host").agg((F.sum("weight") / total).alias("seed"))
-    rank = base.select("host", F.col("seed").alias("rank"))
+    rank = base.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
     if links.isEmpty():
-        return rank.select("host", (F.col("rank") * (1 - damping)).alias("rank"))
-    start = persist_table(base)
-    rank = start.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    for i in range(1, rounds + 1):
-        moved = links.join(rank, links.src == rank.host).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("part"))
-        kept = start.select("host", (F.col("seed") * (1 - damping)).alias("part"))
-        rank = moved.unionByName(kept).groupBy("host").agg(F.sum("part").alias("rank"))
-        if i % SAVE_EVERY == 0:
-            rank = persist_table(rank)
-    return rank
+        return rank
+    state = persist_table(rank.withColumn("added", F.col("rank")))
+    while True:
+        for _ in range(SAVE_EVERY):
+            moved = links.join(state, links.src == state.host).select(F.col("dst").alias("host"), F.lit(0.0).alias("rank"), (F.col("added") * F.col("share") * damping).alias("added"))
+            sums = moved.unionByName(state.select("host", "rank", F.lit(0.0).alias("added"))).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("added").alias("added"))
+            state = sums.select("host", (F.col("rank") + F.col("added")).alias("rank"), "added")
+        state = persist_table(state)
+        if state.where(F.col("added") > F.col("rank") * tolerance).isEmpty():
+            return state.select("host", "rank")
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -112,5 +119,5 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     scored = judged.join(known, "host", "left").select(
         "page_id", "host", "path", "hit", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )
-    by_host = F.when(F.col("distrust") > F.col("trust") * OUTWEIGH + FLOOR, "block").otherwise("allow")
+    by_host = F.when(F.col("distrust") > F.col("trust") * (OUTWEIGH * (1 + MARGIN)), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), by_host).alias("verdict"), "trust", "distrust")

@@ -426,3 +426,16 @@ def test_distrust_runs_against_links_and_trust_with_them(spark):
     got = {r.page_id: r for r in url_filters.filter_urls(df).collect()}
     assert got[1].verdict == "block" and got[3].verdict == "allow" and got[3].trust > 0 and got[4].verdict == "allow"
     assert url_filters.filter_urls(df.where("false")).count() == 0
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_table_or_the_distance(spark):
+    chain = [(k, f"http://h{k}.net/1", f'<a href="http://h{k + 1}.net/x">') for k in range(29)]
+    chain += [(29, "http://h29.net/1", '<a href="http://bad.com/x">'), (30, "http://bad.com/de/1", "")]
+    far = spark.createDataFrame(chain, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filters.filter_urls(far).collect()} == {k: "block" for k in range(31)}
+    name = lambda f: F.format_string(f, "id")
+    linking = spark.range(1000, 101_000).select(F.col("id").alias("page_id"), name("http://l%d.net/").alias("url"), F.lit('<a href="http://bad.com/x">').alias("html"))
+    filling = spark.range(1_000_000, 4_000_000).select(F.col("id").alias("page_id"), F.lit("http://good.org/").alias("url"), F.lit("").alias("html"))
+    bad = far.where("page_id = 30")
+    got = url_filters.filter_urls(bad.unionByName(linking).unionByName(filling)).where("page_id < 1000000")
+    assert {r.verdict: r["count"] for r in got.groupBy("verdict").count().collect()} == {"block": 100_001}
