@@ -26,8 +26,14 @@ def anomaly_vs_mean(spark, d):
 
 def neighbourhood_mean(spark, d):
     """Mean of cells within 1.5 degrees of (12.5, 78.5) per frame; of the nearest cell where none is."""
-    near = observations(spark, d).where("abs(latitude - 12.5) <= 1.5 and abs(longitude - 78.5) <= 1.5")
-    return near.groupBy("valid_time").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("cells"))
+    near = F.expr("abs(latitude - 12.5) <= 1.5 and abs(longitude - 78.5) <= 1.5")
+    apart = F.expr("struct(pow(latitude - 12.5, 2) + pow(longitude - 78.5, 2), node_id)")
+    inside = F.when(near, F.col("value"))
+    frames = observations(spark, d).groupBy("valid_time").agg(
+        F.max(near).alias("any"), F.avg(inside).alias("mean"), F.count(inside).alias("cells"), F.min_by("value", apart).alias("nearest")
+    )
+    mean, cells = F.when(F.col("any"), F.col("mean")).otherwise(F.col("nearest")), F.when(F.col("any"), F.col("cells")).otherwise(F.col("nearest").isNotNull().cast("long"))
+    return frames.select("valid_time", F.round(mean, 6).alias("mean"), cells.alias("cells"))
 
 
 def trailing_window(spark, d):

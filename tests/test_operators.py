@@ -111,3 +111,13 @@ def test_upsert_keeps_old_keys_and_takes_new_rows(spark):
 def test_escalation_refuses_small_series(spark):
     rows = spark.createDataFrame([("a", 1)] * 30 + [("b", 0)] * 25 + [("c", 1)], "threat_id string, label int")
     assert {r.threat_id: r.refused for r in escalation.refusals(rows).collect()} == {"a": "too few negatives", "b": "too few positives", "c": "too few rows"}
+
+
+def test_neighbourhood_mean_takes_the_nearest_cell_where_none_is_near(spark, monkeypatch):
+    from galewatch.plans import series as plans
+
+    rows = [(1, 12.5, 78.0, 10, 2.0), (2, 13.0, 79.0, 10, 4.0), (3, 15.0, 79.0, 10, 9.0), (3, 15.0, 79.0, 11, 9.0), (4, 10.0, 86.0, 11, 1.0)]
+    cells = spark.createDataFrame(rows, "node_id long, latitude double, longitude double, valid_time long, value double")
+    monkeypatch.setattr(plans, "observations", lambda *_: cells)
+    got = {r.valid_time: (r["mean"], r.cells) for r in plans.neighbourhood_mean(spark, "").collect()}
+    assert got == {10: (3.0, 2), 11: (9.0, 1)}
