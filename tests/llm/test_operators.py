@@ -315,12 +315,12 @@ def test_a_second_passage_in_the_same_windows_is_found(spark):
     rng = random.Random(8)
     fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n)]
     texts = []
-    for _ in range(12):  # one document shares its first words with one and its last with another
-        a = fresh(75)
-        texts += [a, a[:52] + fresh(40), fresh(40) + a[22:]]
+    for _ in range(60):  # one shares its first words with one and its last with another, unlike each other
+        a = fresh(58)
+        texts += [a, a[:50] + fresh(40), fresh(40) + a[8:]]
     got, roots = covered(spark, [" ".join(t) for t in texts])
-    for i in range(0, 36, 3):
-        assert got[i] == set(range(75)) and got[i + 1] >= set(range(52)) and got[i + 2] >= set(range(40, 93))
+    for i in range(0, 180, 3):
+        assert got[i] >= set(range(58)) and got[i + 1] >= set(range(50)) and got[i + 2] >= set(range(40, 90))
         assert roots[i] == roots[i + 1] == roots[i + 2] == i
 
 
