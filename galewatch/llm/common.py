@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ def persist_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package wherever the session was started."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def words(text: Column) -> Column:
     """The words of a text, without empty strings; null or blank text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")

@@ -336,13 +336,7 @@ def test_recall_of_near_passages_against_brute_force(spark):
     got, _ = covered(spark, [" ".join(t) for t in texts])
     found = wanted = docs_found = docs_wanted = 0
     for k in range(0, len(texts), 2):
-        sets = [[{tuple(t[s + j : s + j + 5]) for j in range(46)} for s in range(len(t) - 49)] for t in texts[k : k + 2]]
-        brute = set(), set()
-        for s, a in enumerate(sets[0]):
-            for t, b in enumerate(sets[1]):
-                if 4 * len(a & b) >= 3 * len(a | b):
-                    brute[0].update(range(s, s + 50))
-                    brute[1].update(range(t, t + 50))
+        brute = similar_words(*texts[k : k + 2])
         for d in (0, 1):
             assert got[k + d] <= brute[d]
             found, wanted = found + len(got[k + d]), wanted + len(brute[d])
@@ -351,6 +345,80 @@ def test_recall_of_near_passages_against_brute_force(spark):
     assert docs_wanted > 100 and docs_found >= 0.97 * docs_wanted and found >= 0.97 * wanted
 
 
+def similar_words(a, b):
+    """Words of either text inside a stretch of 50 that is similar to one of the other, from its first to
+    its last shingle that the other has too."""
+    grams = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in (a, b)]
+    brute = set(), set()
+    for s in range(len(a) - 49):
+        x = grams[0][s : s + 46]
+        for t in range(len(b) - 49):
+            y = grams[1][t : t + 46]
+            both = set(x) & set(y)
+            if 4 * len(both) >= 3 * len(set(x) | set(y)):
+                for side, at, g in ((0, s, x), (1, t, y)):
+                    held = [at + i for i in range(46) if g[i] in both]
+                    brute[side].update(range(held[0], held[-1] + 5))
+    return brute
+
+
+def test_exact_boundaries_and_components(spark):
+    rng = random.Random(21)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n)]
+    one, two, three = fresh(70), fresh(55), fresh(64)
+    edited = three[:30] + ["other"] + three[31:]
+    texts = [
+        fresh(33) + one + fresh(9) + two + fresh(12),  # two different passages in one pair of documents
+        two + fresh(71) + one,
+        fresh(140) + one + fresh(2),
+        fresh(20) + three + fresh(50),
+        edited + fresh(60),
+        fresh(300),
+        fresh(11) + three[:49] + fresh(40),  # a word too few
+    ]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    df = df.unionByName(spark.createDataFrame([(None, " ".join(texts[0])), (7, None), (8, ""), (5, "short text"), (9, " ".join(texts[5]).upper()), (10, " ".join(texts[5]))], df.schema))
+    got = {tuple(r) for r in substring_dedup.repeated_passages(df).collect()}
+    want = {(0, 33, 103, 0), (0, 112, 167, 0), (1, 0, 55, 0), (1, 126, 196, 0), (2, 140, 210, 0), (3, 20, 84, 3), (4, 0, 64, 3), (9, 0, 300, 9), (10, 0, 300, 9)}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    if md5(" ".join(texts[5])) < md5("short text"):  # the text of row 5 that counts
+        want = {w for w in want if w[0] not in (9, 10)} | {(i, 0, 300, 5) for i in (5, 9, 10)}
+    assert {g for g in got if g[0] != 6} == want
+    assert {g for g in got if g[0] == 6} == set() or all(e - s >= 44 for _, s, e, _ in got)
+
+
+def test_families_of_edited_copies_against_brute_force(spark):
+    """Copies with edits of their own, some shared by a few: every word and every component of a search of all pairs."""
+    rng = random.Random(4)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    base, line = fresh(120), fresh(12)
+    texts = []
+    for k in range(14):
+        t = list(base)
+        for _ in range(1 + k % 4):
+            t[rng.randrange(120)] = fresh(1)[0]
+        texts.append(fresh(rng.randrange(9)) + t + fresh(5))
+    for k in range(8):  # a branch with changes in common
+        t = [w if i % 9 else "changed" + str(i) for i, w in enumerate(base)]
+        t[rng.randrange(120)] = fresh(1)[0]
+        texts.append(fresh(4) + t)
+    texts += [fresh(40) + line + fresh(40) for _ in range(20)]  # a common line, unlike otherwise
+    texts += [fresh(10) + (line + ["x"]) * 9 + fresh(3), fresh(7) + (line + ["x"]) * 6 + fresh(30)]
+    got, roots = covered(spark, [" ".join(t) for t in texts])
+    want, root = [set() for _ in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len({*texts[i]} & {*texts[j]}) >= 13:
+                a, b = similar_words(texts[j], texts[i])
+                want[j] |= a
+                want[i] |= b
+                if a:
+                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert all(got[i] <= want[i] for i in range(len(texts)))
+    assert sum(map(len, got.values())) >= 0.97 * sum(map(len, want)) > 0
+    assert {i: r for i, r in enumerate(root) if want[i]} == roots
+
+
 # quality rules
 
 
