@@ -23,8 +23,10 @@ SEED = 20_240_601
 
 
 def token_count(text: Column) -> Column:
-    """Words of a text, at least 1: a cheap stand-in for tokens."""
-    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")), F.lit(1)).cast("long")
+    """Estimated tokens of a text, at least 1: one for every eight characters, or fewer, of a run without
+    white space. So a word counts one, and text without spaces, code and encoded data by their length.
+    """
+    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S{1,8}+")), F.lit(1)).cast("long")
 
 
 def source_sizes(docs: DataFrame) -> DataFrame:
@@ -77,16 +79,20 @@ def mix_sources(docs: DataFrame, budget_tokens: float | None = None, target_entr
     """Repeat documents so that every source has its weight's share of the budget.
 
     Returns the columns of ``docs`` and pass (0, 1, ...), and place (long, the order to read in
-    within a source and pass: blocks in hashed order, documents in hashed order inside). Without a
+    within a source and pass: blocks in hashed order, documents in hashed order inside, both another
+    one in every pass; equal places, about one in 2 ** 32 pairs, are read by doc_id). Columns pass and
+    place of the caller are replaced. Without a
     budget the least repeated source is passed over exactly once, so no document is dropped; with
     one, a source may get less than one pass. Equal rows are permuted by their text, and rows equal
     in all of doc_id, source and text in any order (they cannot be told apart). Empty input gives
     an empty result; null sources form one source; null and empty texts count one token.
     """
-    own = docs.columns
-    row = docs.withColumn("_tokens", token_count(F.col("text")))
+    own = [f"_row.`{c}`" for c in docs.columns if c.lower() not in ("pass", "place")]
     block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(SEED)), F.lit(1 << 30))
-    row = row.withColumn("_order", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(SEED + 1))).withColumn("_spread", block)
+    row = docs.select(  # the caller's columns in one, so that no name clashes
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", "doc_id", token_count(F.col("text")).alias("_tokens"),
+        F.xxhash64("doc_id", F.xxhash64("text"), F.lit(SEED + 1)).alias("_order"), block.alias("_spread"),
+    )
     sizes = persist_table(source_sizes(row.select("source", F.col("_tokens").alias("tokens"))))
     exponent = find_exponent(sizes, target_entropy, None if target_entropy is not None else repetition)
     raw = F.exp(exponent * F.ln(F.col("tokens").cast("double")))
@@ -124,6 +130,6 @@ def mix_sources(docs: DataFrame, budget_tokens: float | None = None, target_entr
         whole.unionByName(part)
         .where(passes > 0)
         .withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
-        .withColumn("place", F.xxhash64("_block", "pass").bitwiseAND(F.lit(-(1 << 20)).cast("long")) + F.pmod(F.col("_order"), F.lit(1 << 20)))
+        .withColumn("place", F.xxhash64("_block", "pass").bitwiseAND(F.lit(-(1 << 32)).cast("long")) + F.pmod(F.xxhash64("_order", "pass"), F.lit(1 << 32)))
         .select(*own, "pass", "place")
     )

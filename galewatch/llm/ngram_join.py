@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import persist_table, shuffle_partitions
+from .common import map_arrow, persist_table, shuffle_partitions
 
 WORDS, PERCENT = 5, 75
 #: Buckets of the corpus-wide shingle counts, 4 bytes each: what is broadcast is this size always.
@@ -39,7 +39,8 @@ SHARED = 3
 BITS = 1024
 #: Ids in a broadcast, at most; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
-REMEMBERED = 400_000
+#: Texts whose words are hashed together.
+SLICE = 100
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BLANK = bytes([9, 10, 11, 12, 13])
 _TO_SPACE = bytes.maketrans(bytes(range(65, 91)) + _BLANK, bytes(range(97, 123)) + b" " * 5)
@@ -54,36 +55,99 @@ def _mix(h: np.ndarray) -> np.ndarray:
 _FACTORS = _mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+#: Bytes that are hashed together; words longer than LONG_WORD are hashed one by one.
+CHUNK_BYTES, LONG_WORD = 1 << 20, 1 << 14
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+_BYTES = _mix(np.arange(101, 357, dtype=np.uint64) * np.uint64(_BASE))
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, made once in each worker."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            made = np.full(CHUNK_BYTES, base, np.uint64)
+            made[0] = 1
+            _POWERS.append(np.cumprod(made))
+    return _POWERS
+
+
+def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of the words of at most CHUNK_BYTES bytes, words parted by spaces.
+
+    A word's hash is a polynomial over its bytes: a difference of prefix sums, shifted back to the
+    word's start, and mixed with its length.
+    """
+    b = np.frombuffer(data, np.uint8)
+    space = np.r_[True, b == 32, True]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    first, end = edge[::2], edge[1::2]
+    up, down = _powers()
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[b] * up[: len(b)])]
+    h = _mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64) * _M1)
+    for k in np.flatnonzero(end - first > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(data[first[k] : end[k]])
+    return h, first
+
+
 class Shingler:
-    """Hashes of a text's word shingles; words that come again are looked up."""
+    """Hashes of the words and of the n-word shingles of texts."""
 
     def __init__(self, n: int = WORDS):
-        self.n, self.known = n, {}
-
-    def word_hashes(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_TO_SPACE).split(b" ")
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > REMEMBERED:
-            known.clear()
+        self.n = n
+
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts one after the other, and where each text's begin (and the end)."""
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        data = b" ".join(raw).translate(_TO_SPACE)
+        starts = np.cumsum([0, *[len(r) + 1 for r in raw]])
+        hashes, places, pos = [], [], 0
+        while pos < len(data):
+            end = pos + CHUNK_BYTES
+            if end < len(data):
+                end = data.rfind(b" ", pos, end)
+                if end <= pos:  # one word fills the chunk
+                    end = data.find(b" ", pos + CHUNK_BYTES)
+                    end = len(data) if end < 0 else end
+                    word = data[pos:end].lstrip(b" ")
+                    hashes.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))
+                    places.append(np.array([end - len(word)]))
+                    pos = end
+                    continue
+            h, first = _hash_words(data[pos:end])
+            hashes.append(h)
+            places.append(first + pos)
+            pos = end
+        if not hashes:
+            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.concatenate(hashes), np.searchsorted(np.concatenate(places), starts)
+
+    def ordered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all shingles of all texts in their order, and where each text's begin; a text with fewer
+        than n words has none."""
+        w, at = self.words(texts)
+        size = np.diff(at)
+        keep = np.maximum(size - self.n + 1, 0)
+        h = np.zeros(max(len(w) - self.n + 1, 0), np.uint64)
+        for k in range(self.n):
+            h += w[k : len(h) + k] * _FACTORS[k]
+        inside = np.arange(len(h)) - np.repeat(at[:-1], size)[: len(h)] < np.repeat(keep, size)[: len(h)]
+        return _mix(h[inside]), np.r_[0, np.cumsum(keep)]
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Distinct shingle hashes of each text, sorted; a text with fewer than n words has its words as one."""
+        w, at = self.words(texts)
         out = []
-        for w in words:
-            if w:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = digest(w)
-                out.append(h)
-        return np.array(out, np.uint64)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            n = min(self.n, b - a)
+            h = np.zeros(max(b - a - n + 1, 0) if n else 0, np.uint64)
+            for k in range(n):
+                h += w[a + k : a + k + len(h)] * _FACTORS[k]
+            out.append(np.unique(_mix(h + np.uint64(n))))
+        return out
 
     def shingles(self, text: str | None) -> np.ndarray:
-        """Distinct shingle hashes, sorted; a text with fewer than n words has its words as one."""
-        w = self.word_hashes(text)
-        if not len(w):
-            return w
-        n = min(self.n, len(w))
-        h = np.zeros(len(w) - n + 1, np.uint64)
-        for k in range(n):
-            h += w[k : len(w) - n + 1 + k] * _FACTORS[k]
-        return np.unique(_mix(h + np.uint64(n)))
+        return self.sets([text])[0]
 
 
 def needed(a: Column, b: Column, percent: int = PERCENT) -> Column:
@@ -102,9 +166,10 @@ def shingle_counts(docs: DataFrame, column: str = "text", n: int = WORDS) -> np.
         made, total = Shingler(n), np.zeros(BUCKETS, np.int64)
         held, size = [], 0
         for batch in batches:
-            for t in batch.column(0):
-                held.append((made.shingles(t.as_py()) & np.uint64(BUCKETS - 1)).astype(np.int64))
-                size += len(held[-1])
+            for at in range(0, batch.num_rows, SLICE):
+                for h in made.sets(batch.column(0)[at : at + SLICE].to_pylist()):
+                    held.append((h & np.uint64(BUCKETS - 1)).astype(np.int64))
+                    size += len(held[-1])
                 if size > 2_000_000:
                     total += np.bincount(np.concatenate(held), minlength=BUCKETS)
                     held, size = [], 0
@@ -125,9 +190,9 @@ def shingle_counts(docs: DataFrame, column: str = "text", n: int = WORDS) -> np.
         yield rows(total.ravel(), sorted(seen))
 
     schema = "part int, counts binary"
-    spread = docs.select(column).mapInArrow(count, schema).repartition(shuffle_partitions(docs.sparkSession), "part")
+    spread = map_arrow(docs.select(column), count, schema).repartition(shuffle_partitions(docs.sparkSession), "part")
     total = np.zeros((PARTS, BUCKETS // PARTS), np.int64)
-    for r in spread.mapInArrow(add, schema).collect():  # BUCKETS numbers in all
+    for r in map_arrow(spread, add, schema).collect():  # BUCKETS numbers in all
         total[r["part"]] += np.frombuffer(r["counts"], np.int32)
     return total.ravel()
 
@@ -145,8 +210,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, column: str = "text", n: int
         made, often = Shingler(n), rank.value
         for batch in batches:
             sizes, a, b, prefixes, tails = [], [], [], [], []
-            for t in batch.column(1):
-                h = made.shingles(t.as_py())
+            for h in (h for at in range(0, batch.num_rows, SLICE) for h in made.sets(batch.column(1)[at : at + SLICE].to_pylist())):
                 sizes.append(len(h))
                 a.append(xxhash.xxh3_64_intdigest(h.tobytes()) if len(h) else 0)
                 b.append(xxhash.xxh64_intdigest(h.tobytes()) if len(h) else 0)
@@ -163,7 +227,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, column: str = "text", n: int
                 names=["doc_id", "n_shingles", "set_a", "set_b", "prefix", "bits"],
             )
 
-    return docs.select("doc_id", column).mapInArrow(make, "doc_id long, n_shingles long, set_a long, set_b long, prefix array<long>, bits binary")
+    return map_arrow(docs.select("doc_id", column), make, "doc_id long, n_shingles long, set_a long, set_b long, prefix array<long>, bits binary")
 
 
 def connect(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -205,12 +269,12 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, column: str = "text", n: int
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Shingler(n)
         for batch in batches:
-            sets = [made.shingles(t.as_py()) for t in batch.column(1)]
+            sets = [h for at in range(0, batch.num_rows, SLICE) for h in made.sets(batch.column(1)[at : at + SLICE].to_pylist())]
             offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32())
             flat = _signed(np.concatenate(sets)) if sets else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "set"])
 
-    sets = docs.select("doc_id", column).join(ids, "doc_id", "left_semi").mapInArrow(make, "doc_id long, set array<long>")
+    sets = map_arrow(docs.select("doc_id", column).join(ids, "doc_id", "left_semi"), make, "doc_id long, set array<long>")
     sets = persist_table(sets)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +288,7 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, column: str = "text", n: int
 
     first = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("u")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("v")), "b").select("a", "b", "u", "v")
-    return persist_table(both.mapInArrow(check, "a long, b long"))
+    return persist_table(map_arrow(both, check, "a long, b long"))
 
 
 def _last(n: Column, need: Column) -> Column:
@@ -340,7 +404,7 @@ def _suffix_filter(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFr
             keep = differ * (100 + percent) <= sizes * (100 - percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(check, "a long, b long")
+    return map_arrow(rows, check, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, column: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 #: The mark that stands for a space in pieces.
 MARK = "▁"
 #: Distinct words whose pieces a task remembers before it starts anew; bounds its memory.
@@ -204,7 +206,7 @@ def encode_documents(docs: DataFrame, model_path: str, column: str = "text", kee
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema)
     del kept
-    return base.mapInArrow(run, f"{types}, ids array<int>, begins array<int>, ends array<int>, decoded string")
+    return map_arrow(base, run, f"{types}, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
 def _ship(docs: DataFrame, path: str) -> str | None:
@@ -232,4 +234,4 @@ def decode_ids(encoded: DataFrame, model_path: str, column: str = "ids", keep: t
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema)
-    return base.mapInArrow(run, f"{types}, decoded string")
+    return map_arrow(base, run, f"{types}, decoded string")

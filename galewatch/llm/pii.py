@@ -1,10 +1,12 @@
 """Personal data spans by weak supervision, as DataFrame functions only.
 
-Candidate spans come from exact patterns (the *base* spans, always kept) and from looser ones. A
-regex, a gazetteer and a context labeler vote on every candidate (yes 1, no -1, abstain 0).
-Expectation-maximisation over the counted vote patterns estimates how reliable each labeler is; the
-resulting probabilities train a final logistic classifier over votes and shape, which decides about
-the looser candidates.
+Candidate spans come from exact patterns (the *base* spans, always kept) and from looser ones: what
+an exact pattern misses because it runs on into the number behind it (two cards, a phone and an
+address), writes out (``(at)``) or has no plus sign. A regex, a gazetteer and a context labeler vote
+on every candidate (yes 1, no -1, abstain 0), base or not: the first by its form and check digit, the
+second by number blocks and domains, the third by what stands before it. Expectation-maximisation
+over the counted vote patterns estimates how reliable each labeler is; the resulting probabilities
+train a final logistic classifier over votes and shape, which decides about the looser candidates.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist_table
+from .common import free_name, persist_table
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -26,20 +28,39 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser forms, offered to the labelers.
+#: Looser forms, offered to the labelers, and a cheap sign that a text holds one.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{2,63}+){1,4}",
-    "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])",
+    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
+    "card": r"(?<![0-9.])(?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{2,7}|[0-9]{14,19})(?![0-9])",
+    "phone": r"(?<![0-9+().-])(?:\+?[0-9]{1,3}[-. ])?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])",
 }
-#: Gazetteer: top-level domains and mail hosts, toll-free and fictional number blocks.
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk")
-#: Words that speak for a kind when they stand shortly before a span.
+SIGNS = {
+    "email": r"[\[(](?:at|AT)[\])]",
+    "ip": r"(?:[0-9]{1,3}\.){3}[0-9]",
+    "card": r"[0-9](?:[\x20-]?[0-9]){13}",
+    "phone": r"[0-9]{3}[-. ][0-9]{4}",
+}
+#: Forms that the regex labeler takes for genuine.
+FORMS = {
+    "email": r"(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z]{2,24}$",
+    "card": r"^(?:[0-9]{4}[\x20-]?){3}[0-9]{2,7}$",
+    "phone": r"^(?:\+?[0-9]{1,3}[-. ])?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}$",
+}
+#: Gazetteer: common top-level domains; first digits of card issuers; number blocks that no public host
+#: has (this network, loopback, multicast and above); subscriber block of fictional phone numbers.
+DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "info", "io", "de", "fr", "es", "it", "nl", "uk", "eu", "ch", "at")
+ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|30|36|38|35|60|62|64|65)"
+NO_HOST = r"^(?:0|127|22[4-9]|2[3-5][0-9])\."
+FICTIONAL = r"555[-. ][0-9]{4}$"
+#: Words that speak for a kind when they stand shortly before a span, and those that speak against all.
 CUES = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|courriel|correo)\W",
     "ip": r"(?i)(?:\bip\b|host|server|address|login)",
     "card": r"(?i)(?:card|visa|credit|payment|karte|carte|tarjeta)",
     "phone": r"(?i)(?:phone|\btel|call|mobile|fax|contact|telefon|teléfono)",
 }
+AGAINST = r"(?i)(?:order|invoice|serial|isbn|version|build|article|item|ticket|id)\W*(?:no\W*|number\W*|#\W*)?$"
 CONTEXT = 40
 ROUNDS, PRIOR = 40, 0.5
 
@@ -104,40 +125,62 @@ def _some(text: Column, kind: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text; looser ones only where no base span of their kind overlaps."""
+    """All candidate spans of a text, base ones first."""
     none = F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,body:string,before:string>>")
     parts = []
     for kind in KINDS:
         base = F.when(_some(text, kind), F.filter(_at(text, PATTERNS[kind], kind, True), _checker(kind))).otherwise(none)
         parts.append(F.coalesce(base, none))
-    for kind, sign in (("email", r"[\[(](?:at|AT)[\])]"), ("phone", r"[0-9]{3}[-. ][0-9]{4}")):
-        parts.append(F.coalesce(F.when(F.regexp_like(text, F.lit(sign)), _at(text, LOOSE[kind], kind, False)).otherwise(none), none))
+    for kind in KINDS:
+        parts.append(F.coalesce(F.when(F.regexp_like(text, F.lit(SIGNS[kind])), _at(text, LOOSE[kind], kind, False)).otherwise(none), none))
     return F.concat(*parts)
 
 
 def votes(span: Column) -> list[Column]:
     """Votes of the regex, gazetteer and context labelers, and the shape of the span."""
     body, before, kind = span["body"], span["before"], span["kind"]
-    strict = F.when(span["base"], 1).otherwise(-1)
-    last = F.lower(F.regexp_extract(body, r"([A-Za-z0-9-]+)$", 1))
-    first = F.regexp_extract(body, r"^\D*([0-9]{1,3})", 1)
+    like = lambda c, pattern: F.regexp_like(c, F.lit(pattern))
+    genuine = (
+        F.when(kind == 0, like(F.substring(body, 1, 1), "^[A-Za-z0-9]") & like(F.right(body, F.lit(32)), FORMS["email"]))
+        .when(kind == 1, _valid(span, "ip"))
+        .when(kind == 2, like(body, FORMS["card"]) & _valid(span, "card"))
+        .otherwise(like(body, FORMS["phone"]))
+    )
+    last = F.lower(F.regexp_extract(F.right(body, F.lit(32)), r"([A-Za-z0-9-]+)$", 1))
     known = (
         F.when(kind == 0, F.when(last.isin(*DOMAINS), 1).otherwise(-1))
-        .when(kind == 1, F.when(first.isin("0", "127", "255"), -1).otherwise(0))
-        .when(kind == 2, F.when(F.substring(body, 1, 1).isin("3", "4", "5", "6"), 1).otherwise(-1))
-        .otherwise(F.when(F.contains(body, F.lit("555")), 1).otherwise(0))
+        .when(kind == 1, F.when(like(body, NO_HOST), -1).otherwise(1))
+        .when(kind == 2, F.when(like(_digits(body), ISSUERS), 1).otherwise(0))
+        .otherwise(F.when(like(body, FICTIONAL), 1).otherwise(0))
     )
-    cue = F.coalesce(*[F.when((kind == i) & F.regexp_like(before, F.lit(CUES[k])), 1) for i, k in enumerate(KINDS)], F.lit(0))
-    shape = F.when(F.regexp_like(body, F.lit(r"[()\[\]]")), 1).otherwise(0)
-    return [strict.alias("regex"), known.alias("gazetteer"), cue.alias("context"), shape.alias("shape")]
+    cue = F.coalesce(*[F.when((kind == i) & like(before, CUES[k]), 1) for i, k in enumerate(KINDS)], F.when(like(before, AGAINST), -1), F.lit(0))
+    shape = F.when(like(body, r"[()\[\]+]"), 1).otherwise(0)
+    return [F.when(genuine, 1).otherwise(-1).alias("regex"), known.alias("gazetteer"), cue.alias("context"), shape.alias("shape")]
+
+
+def vote_table(own: list[dict], belief: list[float]) -> tuple[list[float], dict[tuple, float]]:
+    """Shares of false and true spans, and the probability of each (labeler, vote, truth)."""
+    total, table = [0.0, 0.0], {}
+    for c, p in zip(own, belief, strict=True):
+        for t, q in ((0, 1 - p), (1, p)):
+            total[t] += q * c["n"]
+            for x in ("regex", "gazetteer", "context"):
+                table[x, c[x], t] = table.get((x, c[x], t), 0.0) + q * c["n"]
+    prior = lambda v, t: 2.0 if (v > 0) == (t == 1) else 1.0
+    made = {
+        (x, v, t): (table.get((x, v, t), 0.0) + prior(v, t)) / (total[t] + sum(prior(k, t) for k in (-1, 0, 1)))
+        for x in ("regex", "gazetteer", "context") for v in (-1, 0, 1) for t in (0, 1)
+    }
+    return [(n + 1) / (sum(total) + 2) for n in total], made
 
 
 def reliabilities(counts: list[dict]) -> dict[tuple, float]:
     """Probability of each (kind, regex, gazetteer, context, shape) pattern by EM, then logistic fit.
 
-    ``counts`` has a row for each pattern with its number n: at most 4 * 2 * 3 * 2 * 2 rows. Each
-    labeler has a probability of each vote in true and in false spans; votes are independent given
-    the truth. Smoothing by one count keeps single-class data finite.
+    ``counts`` has a row for each pattern with its number n: at most 4 * 3 * 3 * 3 * 2 rows. Each
+    labeler has a probability of each vote in true and in false spans, which sum to one; votes are
+    independent given the truth. One count for each vote, and one more for a vote that agrees with
+    the truth, keep single-class data finite.
     """
     names = ("regex", "gazetteer", "context")
     out: dict[tuple, float] = {}
@@ -147,13 +190,8 @@ def reliabilities(counts: list[dict]) -> dict[tuple, float]:
             continue
         belief = [min(0.95, max(0.05, PRIOR + 0.2 * sum(c[x] for x in names))) for c in own]
         for _ in range(ROUNDS):
-            table, total = {}, [1.0, 1.0]
-            for c, p in zip(own, belief, strict=True):
-                for t, q in ((1, p), (0, 1 - p)):
-                    total[t] += q * c["n"]
-                    for x in names:
-                        table[x, c[x], t] = table.get((x, c[x], t), 0.0) + q * c["n"]
-            like = lambda c, t: math.prod((table.get((x, c[x], t), 0.0) + 1 + (t == (c[x] > 0))) / (total[t] + 4) for x in names) * total[t]  # noqa: E731, B023
+            share, table = vote_table(own, belief)
+            like = lambda c, t: math.prod(table[x, c[x], t] for x in names) * share[t]  # noqa: E731, B023
             belief = [like(c, 1) / (like(c, 1) + like(c, 0)) for c in own]
         # the classifier: logistic regression on votes and shape with the beliefs as soft labels
         w = [0.0] * 5
@@ -180,12 +218,15 @@ def find_spans(docs: DataFrame, column: str = "text") -> DataFrame:
     array. Repeated rows are each returned. The result reads a table of the candidates, so texts
     are searched once.
     """
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != column]
-    cand = persist_table(docs.select(*rest, candidates(F.coalesce(F.col(column), F.lit(""))).alias("_spans")))
+    others = [c for c in docs.columns if c != column]
+    # a caller's columns may have any name but found: what is added here gets a name of its own
+    own = free_name("_spans", docs)
+    rest = [F.col(f"`{c}`") for c in others]
+    cand = persist_table(docs.select(*rest, candidates(F.coalesce(F.col(column), F.lit(""))).alias(own)))
     span = F.col("s")
     seen = (
-        cand.where(F.size("_spans") > 0)
-        .select(F.explode("_spans").alias("s"))
+        cand.where(F.size(own) > 0)
+        .select(F.explode(own).alias("s"))
         .select(span["kind"].alias("kind"), *votes(span))
         .groupBy("kind", "regex", "gazetteer", "context", "shape")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -204,10 +245,10 @@ def find_spans(docs: DataFrame, column: str = "text") -> DataFrame:
         return s["base"] | hit
 
     def clear(s: Column) -> Column:
-        """Looser spans give way to base spans of their kind that they overlap."""
-        return s["base"] | ~F.exists("_spans", lambda o: o["base"] & (o["kind"] == s["kind"]) & (o["start"] < s["end"]) & (s["start"] < o["end"]))
+        """Looser spans give way to base spans that they overlap."""
+        return s["base"] | ~F.exists(own, lambda o: o["base"] & (o["start"] < s["end"]) & (s["start"] < o["end"]))
 
-    chosen = F.when(F.size("_spans") > 0, F.filter(F.when(F.exists("_spans", lambda s: ~s["base"]), F.filter("_spans", clear)).otherwise(F.col("_spans")), lambda s: keep(s) if sure else s["base"]))
+    chosen = F.when(F.size(own) > 0, F.filter(F.when(F.exists(own, lambda s: ~s["base"]), F.filter(own, clear)).otherwise(F.col(own)), lambda s: keep(s) if sure else s["base"]))
     ordered = F.sort_array(F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"))))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>")
     return cand.select(*rest, F.coalesce(ordered, none).alias("found"))

@@ -80,9 +80,11 @@ def with_statistics(docs: DataFrame, column: str = "text") -> DataFrame:
     """Statistics of every text beside the other columns; null counts as an empty text.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the shares named
-    in STATISTICS (double, 0 for a text without words).
+    in STATISTICS (double, 0 for a text without words); columns of the caller with such a name are
+    replaced.
     """
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != column]
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_text", "_words", "_upper", "_marks", "_bars", *STATISTICS}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != column and c.lower() not in made]
     text = F.coalesce(F.col(column), F.lit(""))
     base = docs.select(*rest, text.alias("_text"), _words(text).alias("_words"))
     n = F.size("_words")

@@ -17,6 +17,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .pieces import _ship
 
 #: What stands between the fields of a document; it belongs to the field before it.
@@ -96,7 +97,7 @@ def tokens_by_section(docs: DataFrame, ranks_path: str, pattern: str, fields: tu
             if out:
                 yield _table(batch, rows, out)
 
-    made = base.mapInArrow(run, "doc_id long, section int, start long, end long, n_tokens long, n_crossing long")
+    made = map_arrow(base, run, "doc_id long, section int, start long, end long, n_tokens long, n_crossing long")
     if len(fields) == 1:
         return made.withColumn("field", F.lit(fields[0]))
     return made.withColumn("field", F.element_at(F.array(*map(F.lit, fields)), F.col("section") + 1))
