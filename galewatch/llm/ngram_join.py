@@ -4,9 +4,10 @@ Documents with equal shingle sets form a class first; only one of each class is
 shingles are ordered from rare to frequent (by how often their hash bucket occurs in the whole
 corpus: any order that all sets share is right, a rarer prefix only means fewer candidates). Two
 sets of sizes a and b that reach the threshold with an intersection of k share SHARED of their first
-a - k + SHARED and b - k + SHARED shingles: the length and position filters. The suffix filter bounds
-the Hamming distance of the sets from below by that of their bitmaps. Every pair that is left is
-verified once on the full sets.
+a - k + SHARED and b - k + SHARED shingles: the length and position filters. The difference of the sets
+is bounded from below by that of their bitmaps, and then by the suffix filter, which cuts both sets
+at common elements and compares the sizes of the parts. Every pair that is left is verified once on
+the full sets; pairs that were verified before do not come again.
 
 Links are wanted as groups, not as all pairs of a group. So two cheap rounds first compare every
 set with representatives of its prefix shingles (first the sets that have most shingles in common
@@ -259,8 +260,23 @@ def few(ids: DataFrame) -> tuple[DataFrame, bool]:
     return (F.broadcast(ids) if n <= BROADCAST_IDS else ids), n == 0
 
 
+def least_difference(u: np.ndarray, v: np.ndarray, depth: int = 3) -> int:
+    """A lower bound of the number of elements that only one of two sorted sets has.
+
+    The suffix filter: both are cut at the middle element of one, and the sizes of what lies on either side
+    must differ by so many at least; ``depth`` times over.
+    """
+    if not depth or not len(u) or not len(v):
+        return abs(len(u) - len(v))
+    mid = len(v) // 2
+    k = int(u.searchsorted(v[mid]))
+    hit = k < len(u) and u[k] == v[mid]
+    return least_difference(u[:k], v[:mid], depth - 1) + least_difference(u[k + hit :], v[mid + 1 :], depth - 1) + (not hit)
+
+
 def verify_pairs(pairs: DataFrame, docs: DataFrame, column: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets reach the threshold."""
+    """Those of the distinct pairs (a, b) whose full sets reach the threshold: the suffix filter first, then
+    the intersection."""
     pairs = persist_table(pairs)
     ids, none = few(persist_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()))
     if none:
@@ -281,7 +297,10 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, column: str = "text", n: int
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = x.values.to_numpy(), y.values.to_numpy()
+                u, v = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                if (100 + percent) * least_difference(u, v) > (100 - percent) * (len(u) + len(v)):
+                    keep.append(False)
+                    continue
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -323,7 +342,13 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     members = persist_table(members)
     # one document of each class goes on: those that represent themselves
     own = members.where("rep = doc_id and n_shingles > 0").select("doc_id").distinct()
-    reps = signed.where("n_shingles > 0").join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = signed.where("n_shingles > 0").join(own, "doc_id", "left_semi")
+    # of rows that share an id the one with the smallest hashes of its set stands for it
+    again, none = few(persist_table(members.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")))
+    if not none:
+        row = F.struct(*reps.columns)
+        one = reps.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("set_a", "set_b")).alias("r")).select("r.*")
+        reps = reps.join(again, "doc_id", "left_anti").unionByName(one)
     posted = reps.select(F.col("doc_id").alias("d"), F.posexplode("prefix").alias("i", "gram"))
     # prefix shingles of one document only can link nothing
     repeated = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
@@ -338,6 +363,7 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     far = size.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     roots = None
     found: list[DataFrame] = []
+    tried: DataFrame | None = None  # pairs that have been verified, whatever came of it
     for hub in ("hub1", "hub2"):
         # a set and the representative of each of its shingles: as many rows as postings at most
         star = lists.join(hubs.select("gram", F.col(hub).alias("b")), "gram").where("d <> b").groupBy(F.col("d").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
@@ -347,7 +373,9 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
         star = star.join(near, "a").join(far, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("shared") * 8 >= F.least("pa", "pb")))
         star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if roots is not None:  # only what the first round left apart
-            star = _apart(star, roots)
+            star = _apart(star, roots).join(tried, ["a", "b"], "left_anti")
+        star = persist_table(star)
+        tried = star if tried is None else tried.unionByName(star)
         found.append(verify_pairs(star, docs, column, n, percent))
         edges = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         roots = connect(edges)
@@ -368,8 +396,8 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     swap = F.col("da") > F.col("db")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     rows = met.select(pick("da", "db").alias("a"), pick("db", "da").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"))
-    pairs = persist_table(_shared(rows, percent))
-    pairs = _suffix_filter(pairs, signed.select("doc_id", "bits"), percent)
+    pairs = persist_table(_shared(rows, percent).join(tried, ["a", "b"], "left_anti"))
+    pairs = _bitmap_filter(pairs, signed.select("doc_id", "bits"), percent)
     found.append(verify_pairs(pairs.select("a", "b"), docs, column, n, percent))
     edges = found[0].unionByName(found[1]).unionByName(found[2])
     return members, connect(edges)
@@ -382,7 +410,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return x.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _suffix_filter(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+def _bitmap_filter(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Drop pairs whose bitmaps differ in more bits than the sets may differ in shingles.
 
     Sets that reach the threshold have at most (100 - p) / (100 + p) * (a + b) shingles not in
@@ -413,7 +441,7 @@ def near_duplicate_groups(docs: DataFrame, column: str = "text", n: int = WORDS,
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of n-word shingles
     (A-Z lower-cased). Null, empty and blank texts have an empty set and link with nothing; texts
     with fewer than n words have one shingle. Rows that share a doc_id are each returned; where
-    their texts differ, links of any of them count for the id only through its first text. Rows
+    their texts differ, the id links through the one whose set has the smallest hashes. Rows
     with a null doc_id come back with a null component.
     """
     members, roots = jaccard_links(docs, column, n, percent)
