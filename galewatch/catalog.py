@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import detection, grids, series, serving
+from .plans import contracts, detection, grids, horizons, series, serving
 
-PLANS = (detection, series, grids, serving)
+PLANS = (detection, series, grids, serving, contracts, horizons)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

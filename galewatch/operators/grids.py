@@ -95,14 +95,24 @@ def normal_equations(rows: DataFrame, width: int) -> DataFrame:
     return rows.where("y is not null").mapInPandas(run, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
 
 
-def ridge(sums: DataFrame, width: int, alpha: float) -> np.ndarray:
-    """Weights from normal equations ((width + 1) ** 2 numbers); the intercept is not penalised."""
-    gram = np.zeros((width + 1, width + 1))
+def gram(sums: DataFrame, width: int) -> np.ndarray:
+    """Normal equations as a matrix: (width + 1) ** 2 numbers."""
+    made = np.zeros((width + 1, width + 1))
     for r in sums.collect():
-        gram[r["a"], r["b"]] = r["s"]
+        made[r["a"], r["b"]] = r["s"]
+    return made
+
+
+def solve_ridge(sums: np.ndarray, alpha: float) -> np.ndarray:
+    """Weights from a matrix of normal equations; the intercept is not penalised."""
+    width = len(sums) - 1
     penalty = alpha * np.eye(width)
     penalty[0, 0] = 0
-    return np.linalg.solve(gram[:width, :width] + penalty + 1e-9 * np.diag(np.arange(width) > 0), gram[:width, width])
+    return np.linalg.solve(sums[:width, :width] + penalty + 1e-9 * np.diag(np.arange(width) > 0), sums[:width, width])
+
+
+def ridge(sums: DataFrame, width: int, alpha: float) -> np.ndarray:
+    return solve_ridge(gram(sums, width), alpha)
 
 
 def quantile_knots(pairs: DataFrame, knots: int = 201) -> DataFrame:

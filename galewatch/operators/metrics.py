@@ -28,7 +28,8 @@ def percentile_error(pairs: DataFrame) -> DataFrame:
     at = F.array(F.lit(0.95), F.lit(0.99))
     both = pairs.agg(F.percentile("p", at).alias("p"), F.percentile("r", at).alias("r"))
     e = [F.abs(F.col("p")[k] - F.col("r")[k]) for k in (0, 1)]
-    return both.select(e[0].alias("p95_error"), e[1].alias("p99_error"), ((e[0] + e[1]) / 2).alias("mean_error"))
+    known = F.array_compact(F.array(*e))  # the mean is over those that can be computed
+    return both.select(e[0].alias("p95_error"), e[1].alias("p99_error"), (F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))).alias("mean_error"))
 
 
 def overlap(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -96,6 +97,21 @@ def verdict(value: Column, good: Column, fair: Column, higher: bool) -> Column:
     return F.when(value.isNull() | good.isNull() | fair.isNull() | ~order, None).when(at(good), "PASS").when(at(fair), "DEGRADE").otherwise("SUPPRESS")
 
 
+#: Metrics by the direction in which they are better.
+HIGHER_IS_BETTER = ("iou", "dice", "precision", "recall", "f1", "skill", "auc", "peak_preservation", "continuity", "id_consistency")
+LOWER_IS_BETTER = ("rmse", "mae", "brier", "ece", "false_alarm", "miss", "mean_km", "rms_km")
+
+
+def gate(metric: Column, value: Column, has_table: Column, good: Column, fair: Column, own_good: Column | None = None, own_fair: Column | None = None) -> Column:
+    """Verdict of a stage: SUPPRESS without a metric table; NULL for a metric of unknown direction, for
+    thresholds that are missing or in a wrong order, and without a value. Thresholds of the stage itself
+    (0.0 is one) come before the shared ones."""
+    good = good if own_good is None else F.coalesce(own_good, good)
+    fair = fair if own_fair is None else F.coalesce(own_fair, fair)
+    up, down = verdict(value, good, fair, True), verdict(value, good, fair, False)
+    return F.when(~has_table, "SUPPRESS").when(metric.isin(*HIGHER_IS_BETTER), up).when(metric.isin(*LOWER_IS_BETTER), down)
+
+
 def overall(verdicts: DataFrame) -> DataFrame:
     """The worst verdict; NULL if one is undecided."""
     rank = F.when(F.col("verdict") == "PASS", 0).when(F.col("verdict") == "DEGRADE", 1).otherwise(2)

@@ -78,7 +78,18 @@ def drops(rows: DataFrame, value: str, tolerance: float | None) -> DataFrame:
     return made.where(F.col("drop") > tolerance) if tolerance is not None else made.where("false")
 
 
+def drop_flags(rows: DataFrame, value: str, tolerance: float | None) -> DataFrame:
+    """Every step with drop, evaluated (whether there is a tolerance and a step before) and event (NULL where
+    not evaluated)."""
+    fall = F.lag(value).over(by_time()) - F.col(value)
+    made = rows.withColumn("drop", fall).withColumn("evaluated", fall.isNotNull() if tolerance is not None else F.lit(False))
+    return made.withColumn("event", F.when(F.col("evaluated"), F.col("drop") > F.lit(tolerance).cast("double")))
+
+
 def escalation_threshold(rows: DataFrame, q: float, value: str = "severity") -> DataFrame:
+    """Quantile of the known values of each series; ValueError unless 0 < q < 1."""
+    if not 0 < q < 1:
+        raise ValueError(f"a quantile lies between 0 and 1, not at {q}")
     return rows.groupBy("threat_id").agg(F.percentile(value, F.lit(q)).alias("threshold"))
 
 

@@ -94,37 +94,66 @@ def _km(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * 6371.0088 * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
 
 
-def step_tracks(state: list[dict], boxes: list[dict], next_id: int, year: int, max_km: float | None, max_gap: int | None) -> tuple[list[dict], list[str], int]:
-    """One frame: open tracks after it, the id of each box, and the next number."""
+def _iou(a: list[dict], b: list[dict]) -> np.ndarray:
+    """Overlap of every box of one list with every box of the other; 0 where the union has no area."""
+    side = lambda rows, c: np.array([r[c] if r.get(c) is not None else np.nan for r in rows], float)
+    (s1, n1, w1, e1), (s2, n2, w2, e2) = ([side(rows, c) for c in BOX] for rows in (a, b))
+    high = np.maximum(np.minimum(n1[:, None], n2) - np.maximum(s1[:, None], s2), 0)
+    wide = np.maximum(np.minimum(e1[:, None], e2) - np.maximum(w1[:, None], w2), 0)
+    union = ((n1 - s1) * (e1 - w1))[:, None] + (n2 - s2) * (e2 - w2) - high * wide
+    return np.where(union > 0, high * wide / np.where(union > 0, union, 1), np.where(np.isnan(union), np.nan, 0.0))
+
+
+#: Edges of a box: south, north, west, east.
+BOX = ("lat_min", "lat_max", "lon_min", "lon_max")
+
+
+def step_tracks(
+    state: list[dict], boxes: list[dict], next_id: int, year: int, max_km: float | None, max_gap: int | None, min_iou: float | None = None, max_dz: float | None = None
+) -> tuple[list[dict], list[str], int]:
+    """One frame: open tracks after it, the id of each box, and the next number.
+
+    A pair is possible when it passes every gate that has a threshold: distance, overlap of the boxes and
+    difference of the peaks; a box or peak that is missing fails its gate. Costs are distances.
+    """
     ids: list[str | None] = [None] * len(boxes)
     if state and boxes:
         cost = _km(np.array([[t["lat"], t["lon"]] for t in state]), np.array([[b["centroid_lat"], b["centroid_lon"]] for b in boxes]))
         cost = np.where(cost > max_km, np.inf, cost) if max_km is not None else cost
+        if min_iou is not None:
+            cost = np.where(_iou(state, boxes) >= min_iou, cost, np.inf)
+        if max_dz is not None:
+            peak = lambda rows: np.array([r["peak_zscore"] if r.get("peak_zscore") is not None else np.nan for r in rows], float)
+            cost = np.where(np.abs(peak(state)[:, None] - peak(boxes)) <= max_dz, cost, np.inf)
         hits = assign(cost)
     else:
         hits = []
+    opened = lambda i, b: {"id": i, "lat": b["centroid_lat"], "lon": b["centroid_lon"], "missed": 0} | {c: b.get(c) for c in (*BOX, "peak_zscore")}
     hit = dict(hits)
     kept = []
     for i, t in enumerate(state):
         if i in hit:
-            b = boxes[hit[i]]
             ids[hit[i]] = t["id"]
-            kept.append({"id": t["id"], "lat": b["centroid_lat"], "lon": b["centroid_lon"], "missed": 0})
+            kept.append(opened(t["id"], boxes[hit[i]]))
         elif max_gap is not None and t["missed"] + 1 <= max_gap:
             kept.append(t | {"missed": t["missed"] + 1})
     for k, b in enumerate(boxes):
         if ids[k] is None:
             ids[k] = f"THR-{year:04d}-{next_id:04d}"
             next_id += 1
-            kept.append({"id": ids[k], "lat": b["centroid_lat"], "lon": b["centroid_lon"], "missed": 0})
+            kept.append(opened(ids[k], b))
     return kept, ids, next_id
 
 
-def track(boxes: DataFrame, frames: DataFrame, max_km: float | None = None, max_gap: int | None = None, event: str = "event") -> DataFrame:
+def track(
+    boxes: DataFrame, frames: DataFrame, max_km: float | None = None, max_gap: int | None = None, event: str = "event", min_iou: float | None = None, max_dz: float | None = None
+) -> DataFrame:
     """Persistent ids for the boxes of every event: one task walks the frames of one event in time.
 
-    Frames without boxes count as misses. A NULL gap limit ends a track at its first miss.
+    Frames without boxes count as misses. A NULL gap limit ends a track at its first miss; a gate without
+    a threshold is open.
     """
+    extra = [c for c in (*BOX, "peak_zscore") if c in boxes.columns]
     rows = frames.select(event, "valid_time").join(boxes, [event, "valid_time"], "left")
     schema = f"{event} string, valid_time timestamp_ntz, label_id long, centroid_lat double, centroid_lon double, threat_id string"
 
@@ -132,17 +161,17 @@ def track(boxes: DataFrame, frames: DataFrame, max_km: float | None = None, max_
         state, n, out = [], 1, []
         for t, g in pdf.sort_values(["valid_time", "label_id"]).groupby("valid_time", sort=True):
             seen = g[g["label_id"].notna()].to_dict("records")
-            state, ids, n = step_tracks(state, seen, n, t.year, max_km, max_gap)
+            state, ids, n = step_tracks(state, seen, n, t.year, max_km, max_gap, min_iou, max_dz)
             out += [(pdf[event].iloc[0], t, int(b["label_id"]), b["centroid_lat"], b["centroid_lon"], i) for b, i in zip(seen, ids, strict=True)]
         return pd.DataFrame(out, columns=[event, "valid_time", "label_id", "centroid_lat", "centroid_lon", "threat_id"])
 
-    return rows.select(event, "valid_time", "label_id", "centroid_lat", "centroid_lon").groupBy(event).applyInPandas(run, schema)
+    return rows.select(event, "valid_time", "label_id", "centroid_lat", "centroid_lon", *extra).groupBy(event).applyInPandas(run, schema)
 
 
 def trajectories(tracked: DataFrame) -> DataFrame:
-    """Tracks as nested histories: threat_id, first and last time, steps in time order."""
+    """Tracks as nested histories: event (if there is one) and threat_id, first and last time, steps in time order."""
     step = F.struct("valid_time", F.array("centroid_lat", "centroid_lon").alias("centroid"))
-    return tracked.groupBy("threat_id").agg(F.array_sort(F.collect_list(step)).alias("historical_steps"), F.min("valid_time").alias("first"), F.max("valid_time").alias("last"), F.count(F.lit(1)).alias("n"))
+    return tracked.groupBy(*[c for c in ("event",) if c in tracked.columns], "threat_id").agg(F.array_sort(F.collect_list(step)).alias("historical_steps"), F.min("valid_time").alias("first"), F.max("valid_time").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
 def matched_steps(reference: DataFrame, predicted: DataFrame, radius_km: float) -> DataFrame:
@@ -155,9 +184,19 @@ def matched_steps(reference: DataFrame, predicted: DataFrame, radius_km: float)
     return got.select("threat_id", "valid_time", F.when(near, F.col("best.km")).alias("km"), F.when(near, F.col("best.p_id")).alias("p_id"))
 
 
-def tracking_scores(matched: DataFrame) -> DataFrame:
-    """Mean and root-mean-square error, share of covered points, share of tracks with one id."""
-    per = matched.groupBy("threat_id").agg(F.countDistinct("p_id").alias("ids"), F.count("p_id").alias("hits"))
+def _hours(points: DataFrame, key: str) -> DataFrame:
+    """(key, hours, points) from the first to the last point of each track."""
+    at = F.unix_seconds(F.col("valid_time").cast("timestamp"))
+    return points.groupBy(key).agg(((F.max(at) - F.min(at)) / 3600.0).alias("hours"), F.count(F.lit(1)).alias("points"))
+
+
+def tracking_scores(matched: DataFrame, reference: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Mean and root-mean-square error, share of covered points, share of covered tracks with one id, and the
+    mean difference of durations over those of them that have two points or more on both sides."""
+    per = matched.groupBy("threat_id").agg(F.countDistinct("p_id").alias("ids"), F.count("p_id").alias("hits"), F.max("p_id").alias("p_id"))
     ids = per.agg(F.try_divide(F.sum((F.col("ids") == 1).cast("double")), F.sum((F.col("hits") > 0).cast("double"))).alias("id_consistency"))
+    r = _hours(reference, "threat_id").where("points >= 2")
+    p = _hours(predicted.withColumnRenamed("threat_id", "p_id"), "p_id").where("points >= 2").select("p_id", F.col("hours").alias("p_hours"))
+    durations = per.where("ids = 1").join(r, "threat_id").join(p, "p_id").agg(F.avg(F.abs(F.col("hours") - F.col("p_hours"))).alias("duration_error_hours"))
     all_ = matched.agg(F.avg("km").alias("mean_km"), F.sqrt(F.avg(F.col("km") * F.col("km"))).alias("rms_km"), F.avg(F.col("p_id").isNotNull().cast("double")).alias("continuity"))
-    return all_.join(ids)  # one row each
+    return all_.join(ids).join(durations)  # one row each

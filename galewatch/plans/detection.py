@@ -102,9 +102,14 @@ def track_gating(spark, d):
     return got.select(F.col("a_valid_time").alias("valid_time"), F.col("a_label_id").alias("a"), F.col("b_label_id").alias("b"), F.round("cost_km", 4).alias("cost_km"), F.round("iou", 6).alias("iou"))
 
 
+def _event():
+    """Events are half months here: what a task walks does not grow with the time axis."""
+    return F.concat(F.date_format("valid_time", "yyyy-MM"), F.when(F.dayofmonth("valid_time") <= 15, "a").otherwise("b"))
+
+
 def _tracked(spark, d):
-    frames = _obs(spark, d).select(F.lit("all").alias("event"), "valid_time").distinct()
-    return tracks.track(_boxes(spark, d).withColumn("event", F.lit("all")), frames, 400.0, 1)
+    frames = _obs(spark, d).select("valid_time").distinct().withColumn("event", _event())
+    return tracks.track(_boxes(spark, d).withColumn("event", _event()), frames, 400.0, 1, min_iou=0.0, max_dz=1.5)
 
 
 def track_assign(spark, d):
@@ -122,9 +127,11 @@ def trajectory_upsert(spark, d):
 
 
 def _paired(spark, d):
+    """Reference tracks by month, and predictions that miss some days, stray on others and change their id late."""
+    day, odd = F.dayofmonth("valid_time"), F.month("valid_time") % 2 == 1
     top = detect.top_boxes(_boxes(spark, d)).select("valid_time", "centroid_lat", "centroid_lon", F.concat(F.lit("T"), F.month("valid_time").cast("string")).alias("threat_id"))
-    moved = top.withColumn("centroid_lat", F.col("centroid_lat") + 0.2)
-    return top, moved
+    moved = top.where(day % 7 != 0).withColumn("centroid_lat", F.col("centroid_lat") + F.when(day % 5 == 0, 3.0).otherwise(0.2))
+    return top, moved.withColumn("threat_id", F.concat("threat_id", F.when(odd & (day > 20), "b").otherwise("")))
 
 
 def reference_steps(spark, d):
@@ -134,13 +141,17 @@ def reference_steps(spark, d):
 
 def tracking_scores(spark, d):
     ref, pred = _paired(spark, d)
-    return tracks.tracking_scores(tracks.matched_steps(ref, pred, 150.0)).withColumns(_r("mean_km", "rms_km", "continuity", "id_consistency"))
+    got = tracks.tracking_scores(tracks.matched_steps(ref, pred, 150.0), ref, pred)
+    return got.withColumns(_r("mean_km", "rms_km", "continuity", "id_consistency", "duration_error_hours"))
 
 
 _DIST = S.HAV.format(a="centroid_lat", b="la", c="centroid_lon", d="lo")
 _STEP = S.TOP + """, st AS (SELECT *, lead(centroid_lat) OVER w AS la, lead(centroid_lon) OVER w AS lo, lead(valid_time) OVER w AS nt FROM top WINDOW w AS (ORDER BY valid_time))
 SELECT valid_time, {what} FROM st WHERE nt IS NOT NULL"""
-_PAIR = S.TOP + ", ref AS (SELECT valid_time, centroid_lat, centroid_lon, 'T' || month(valid_time) AS threat_id FROM top), m AS (SELECT threat_id, valid_time, centroid_lat, centroid_lat + 0.2 AS la, centroid_lon, centroid_lon AS lo FROM ref), k AS (SELECT threat_id, valid_time, " + _DIST + " AS km FROM m)"
+_PAIR = S.TOP + """, ref AS (SELECT valid_time, centroid_lat, centroid_lon, 'T' || month(valid_time) AS threat_id FROM top),
+pred AS (SELECT valid_time, centroid_lat + CASE WHEN day(valid_time) % 5 = 0 THEN 3.0 ELSE 0.2 END AS la, centroid_lon AS lo, threat_id || CASE WHEN month(valid_time) % 2 = 1 AND day(valid_time) > 20 THEN 'b' ELSE '' END AS p_id FROM ref WHERE day(valid_time) % 7 <> 0),
+j AS (SELECT threat_id, valid_time, p_id, """ + _DIST + """ AS km0 FROM ref LEFT JOIN pred USING (valid_time)),
+k AS (SELECT threat_id, valid_time, CASE WHEN km0 <= 150 THEN km0 END AS km, CASE WHEN km0 <= 150 THEN p_id END AS p_id FROM j)"""
 
 SQL = {
     "climatology_stats": f"WITH {S.CLIM} SELECT lat_i, lon_i, round(mean, 6) AS mean, round(std, 6) AS std, n FROM clim",
@@ -164,8 +175,12 @@ m AS (SELECT a.valid_time, a.label_id AS a, b.label_id AS b, {S.HAV.format(a='a.
  (a.lat_max - a.lat_min) * (a.lon_max - a.lon_min) + (b.lat_max - b.lat_min) * (b.lon_max - b.lon_min) AS s FROM n a JOIN n b ON b.k = a.k + 1)
 SELECT valid_time, a, b, round(cost, 4) AS cost_km, round(CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0.0 END, 6) AS iou FROM m WHERE cost <= 400 AND dz <= 1.5""",
     "trajectory_upsert": "WITH o AS (SELECT o_custkey, year(o_orderdate) >= 1996 AS late, max(o_orderdate) AS \"last\", count(*) AS n FROM orders GROUP BY ALL) SELECT o_custkey, \"last\", n FROM o WHERE late UNION ALL SELECT o_custkey, \"last\", n FROM o WHERE NOT late AND o_custkey NOT IN (SELECT o_custkey FROM o WHERE late)",
-    "reference_steps": f"WITH RECURSIVE {_PAIR} SELECT threat_id, valid_time, round(km, 4) AS km, threat_id AS p_id FROM k",
-    "tracking_scores": f"WITH RECURSIVE {_PAIR} SELECT round(avg(km), 6) AS mean_km, round(sqrt(avg(km * km)), 6) AS rms_km, 1.0::DOUBLE AS continuity, 1.0::DOUBLE AS id_consistency FROM k",
+    "reference_steps": f"WITH RECURSIVE {_PAIR} SELECT threat_id, valid_time, round(km, 4) AS km, p_id FROM k",
+    "tracking_scores": f"""WITH RECURSIVE {_PAIR}, per AS (SELECT threat_id, count(DISTINCT p_id) AS ids, count(p_id) AS hits, max(p_id) AS p_id FROM k GROUP BY ALL),
+rh AS (SELECT threat_id, date_diff('second', min(valid_time), max(valid_time)) / 3600.0 AS h FROM ref GROUP BY ALL HAVING count(*) >= 2), ph AS (SELECT p_id, date_diff('second', min(valid_time), max(valid_time)) / 3600.0 AS h FROM pred GROUP BY ALL HAVING count(*) >= 2)
+SELECT round(avg(km), 6) AS mean_km, round(sqrt(avg(km * km)), 6) AS rms_km, round(avg((p_id IS NOT NULL)::INT), 6) AS continuity,
+ (SELECT round(count(*) FILTER (ids = 1) / nullif(count(*) FILTER (hits > 0), 0)::DOUBLE, 6) FROM per) AS id_consistency,
+ (SELECT round(avg(abs(rh.h - ph.h)), 6)::DOUBLE FROM per JOIN rh USING (threat_id) JOIN ph USING (p_id) WHERE ids = 1) AS duration_error_hours FROM k""",
 }
 QUERIES = {f.__name__: f for f in (
     climatology_stats, coverage_guard, zscore_cells, flag_extremes_high, flag_extremes_low, region_labels, region_boxes, top_box_per_frame, frame_series,

@@ -22,13 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def best_track(spark: SparkSession, path: str) -> DataFrame:
-    """Best-track CSV: the units row goes, numbers and times that do not parse become NULL."""
+    """Best-track CSV: the units row goes (its time is no time, its season no number and its SID blank or
+    text); of all other rows numbers and times that do not parse become NULL, the rows stay."""
     raw = spark.read.csv(path, header=True)
     number = lambda c: F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")
     known = {"LAT": "lat", "LON": "lon", "USA_WIND": "usa_wind", "USA_PRES": "usa_pres", "WMO_WIND": "wmo_wind", "WMO_PRES": "wmo_pres", "DIST2LAND": "dist2land_km", "LANDFALL": "landfall_km"}
     text = {"SID": "sid", "NATURE": "nature", "USA_STATUS": "usa_status", "BASIN": "basin"}
     have = set(raw.columns)
-    return raw.where(F.expr("try_cast(trim(SEASON) AS INT)").isNotNull()).select(
+    units = F.expr("try_cast(trim(SEASON) AS INT) IS NULL AND try_to_timestamp(ISO_TIME) IS NULL") & (F.coalesce(F.trim("SEASON"), F.lit("")) == "Year")
+    return raw.where(~F.coalesce(units, F.lit(False))).select(
         *[F.trim(c).alias(n) for c, n in text.items() if c in have],
         F.expr("try_cast(trim(SEASON) AS INT)").alias("season"),
         F.upper(F.trim("NAME")).alias("name"),
