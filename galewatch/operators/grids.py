@@ -13,26 +13,26 @@ from pyspark.sql import functions as F
 def _brackets(target: DataFrame, axis: DataFrame, name: str) -> DataFrame:
     """Each target coordinate with the two axis points around it; outside the axis it has none."""
     w = Window.orderBy("coord")  # an axis: one row for each grid line
-    pairs = axis.select(F.col("coord").alias("lo"), F.lead("coord").over(w).alias("hi")).where("hi is not null")
-    end = axis.agg(F.max("coord").alias("end"))
+    pairs = axis.select(F.col("coord").alias("lo"), F.lead("coord").over(w).alias("hi"), F.lead("coord", 2).over(w).isNull().alias("last")).where("hi is not null")
     at = F.col(f"{name}_t")
-    inside = (at >= F.col("lo")) & ((at < F.col("hi")) | ((at == F.col("hi")) & (F.col("hi") == F.col("end"))))
-    return target.join(F.broadcast(pairs.join(end)), inside, "left").select(f"{name}_t", F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+    inside = (at >= F.col("lo")) & ((at < F.col("hi")) | ((at == F.col("hi")) & F.col("last")))
+    return target.join(F.broadcast(pairs), inside, "left").select(f"{name}_t", F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
 
 
 def bilinear(field: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """``field`` (i, j, value) at every (i_t, j_t): NULL outside the domain or where a corner is."""
     axis = lambda c: field.select(F.col(c).cast("double").alias("coord")).distinct()
     spots = _brackets(rows, axis("i"), "i").join(_brackets(cols, axis("j"), "j"))  # the target grid itself
-    made = spots
-    for a in ("lo", "hi"):
-        for b in ("lo", "hi"):
-            corner = field.select(F.col("i").cast("double").alias(f"i_{a}"), F.col("j").cast("double").alias(f"j_{b}"), F.col("value").alias(f"v_{a}_{b}"))
-            made = made.join(corner, [f"i_{a}", f"j_{b}"], "left")
     u = (F.col("i_t") - F.col("i_lo")) / (F.col("i_hi") - F.col("i_lo"))
     v = (F.col("j_t") - F.col("j_lo")) / (F.col("j_hi") - F.col("j_lo"))
-    value = F.col("v_lo_lo") * (1 - u) * (1 - v) + F.col("v_hi_lo") * u * (1 - v) + F.col("v_lo_hi") * (1 - u) * v + F.col("v_hi_hi") * u * v
-    return made.select("i_t", "j_t", value.alias("value"))
+    corners = F.array(*[
+        F.struct(F.col(f"i_{a}").alias("i"), F.col(f"j_{b}").alias("j"), ((u if a == "hi" else 1 - u) * (v if b == "hi" else 1 - v)).alias("weight")) for a in ("lo", "hi") for b in ("lo", "hi")
+    ])
+    # the field is read once for all four corners
+    wanted = spots.select("i_t", "j_t", F.explode(corners).alias("c")).select("i_t", "j_t", "c.*")
+    cells = field.select(F.col("i").cast("double").alias("i"), F.col("j").cast("double").alias("j"), "value")
+    sums = wanted.join(cells, ["i", "j"], "left").groupBy("i_t", "j_t").agg(F.sum(F.col("weight") * F.col("value")).alias("value"), F.count("value").alias("known"))
+    return sums.select("i_t", "j_t", F.when(F.col("known") == 4, F.col("value")).alias("value"))
 
 
 def nearest(field: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
