@@ -352,7 +352,8 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     posted = reps.select(F.col("doc_id").alias("d"), F.posexplode("prefix").alias("i", "gram"))
     # prefix shingles of one document only can link nothing
     repeated = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    lists = persist_table(posted.join(repeated, "gram").select("gram", "d", "i"))
+    # merged at every size: postings are shuffled by gram for the counts anyway
+    lists = persist_table(posted.join(repeated.hint("merge"), "gram").select("gram", "d", "i"))
     held = lists.groupBy("d").agg(F.count(F.lit(1)).alias("common"))
     size = persist_table(reps.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.size("prefix").alias("p")).join(held, "d"))
     # the share of a set's prefix that others have too: highest in the middle of a group
