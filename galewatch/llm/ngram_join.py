@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, persist_table, shuffle_partitions
+from .common import drop_table, map_arrow, persist_table, shuffle_partitions
 
 WORDS, PERCENT = 5, 75
 #: Buckets of the corpus-wide shingle counts, 4 bytes each: what is broadcast is this size always.
@@ -307,7 +307,9 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, column: str = "text", n: int
 
     first = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("u")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("v")), "b").select("a", "b", "u", "v")
-    return persist_table(map_arrow(both, check, "a long, b long"))
+    found = persist_table(map_arrow(both, check, "a long, b long"))
+    drop_table(sets)
+    return found
 
 
 def _last(n: Column, need: Column) -> Column:
