@@ -65,8 +65,16 @@ def test_op3(spark, rows):
     for i, _, _ in rows:
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
         assert 0 <= got[i].score <= 1 and got[i].predicted == int(got[i].score >= 0.3)
+    assert len(got) == len(rows) and set(label) <= set(got)
+
+
+def test_op3_on_held_out_labels(spark):
+    """On the larger table: the smallest one has 19 labels of the held-out fold, too few to tell."""
+    larger = DATA.replace("sf0.001", "sf0.01")
+    got = {r.doc_id: r for r in queries.queries()["op3_quality_classifier"](spark, larger).collect()}
+    label = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{larger}/labels.parquet'").fetchall())
     held = [i for i in label if i in got and got[i].held_out]
-    assert len(got) == len(rows) and held and np.mean([got[i].predicted == label[i] for i in held]) >= 0.9
+    assert len(held) >= 50 and np.mean([got[i].predicted == label[i] for i in held]) >= 0.9
 
 
 def base_spans(text):
