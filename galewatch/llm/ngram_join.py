@@ -344,7 +344,8 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     members = persist_table(members)
     # one document of each class goes on: those that represent themselves
     own = members.where("rep = doc_id and n_shingles > 0").select("doc_id").distinct()
-    reps = signed.where("n_shingles > 0").join(own, "doc_id", "left_semi")
+    # merged at every size, so that a small input costs what its share of a large one does
+    reps = signed.where("n_shingles > 0").join(own.hint("merge"), "doc_id", "left_semi")
     # of rows that share an id the one with the smallest hashes of its set stands for it
     again, none = few(persist_table(members.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")))
     if not none:
@@ -354,8 +355,7 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     posted = reps.select(F.col("doc_id").alias("d"), F.posexplode("prefix").alias("i", "gram"))
     # prefix shingles of one document only can link nothing
     repeated = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    # merged at every size: postings are shuffled by gram for the counts anyway
-    lists = persist_table(posted.join(repeated.hint("merge"), "gram").select("gram", "d", "i"))
+    lists = persist_table(posted.join(repeated, "gram").select("gram", "d", "i"))
     held = lists.groupBy("d").agg(F.count(F.lit(1)).alias("common"))
     size = persist_table(reps.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.size("prefix").alias("p")).join(held, "d"))
     # the share of a set's prefix that others have too: highest in the middle of a group
