@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .infilling import MARKS
+from .reply_trees import END, HEAD
 from .url_filters import DAMPING, FLOOR, OUTWEIGH, ROUNDS, RULES
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -59,3 +61,39 @@ bwd AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS sha
 SELECT page_id, j.host, path, rule, coalesce(hit, CASE WHEN coalesce(b.rank, 0) > coalesce(t.rank, 0) * {OUTWEIGH} + {FLOOR} THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN t_{ROUNDS} t ON t.host = j.host LEFT JOIN b_{ROUNDS} b ON b.host = j.host
 """
+
+
+def _escaped(column: str) -> str:
+    """Length of a text in the chat template."""
+    marks = f"length({column}) - length(replace({column}, '\\', '')) + (length({column}) - length(replace({column}, '</turn>', ''))) // 7"
+    return f"(length({column}) + {marks} + coalesce(list_sum(list_transform(regexp_extract_all({column}, '###+'), lambda x: length(x) - 2)), 0))"
+
+
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+_SAID = "'\\### Assistant: </turn> ok'"
+
+CHATS = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', {_SAID} UNION ALL SELECT -7, 1, 'assistant', {_SAID})
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum({len(HEAD) + 2 + len(END)} + {_escaped("text")} + {_escaped("role")} + length(role) - length(replace(role, ':', '')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def _hash(k: int) -> str:
+    return f"('0x' || substr(s, {8 * k + 1}, 8))::BIGINT"
+
+
+_P, _S, _M = MARKS
+
+INFILLS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w FROM d),
+c AS (SELECT *, len(w) AS n, {_hash(0)} % (len(w) + 1) AS a, {_hash(1)} % (len(w) + 1) AS b,
+ CASE WHEN text = '' OR contains(text, '{_P}') OR contains(text, '{_S}') OR contains(text, '{_M}') OR {_hash(2)} % 100 >= 50 THEN 'plain' WHEN {_hash(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, array_to_string(w[1 : least(a, b)], '') AS pre, array_to_string(w[least(a, b) + 1 : greatest(a, b)], '') AS mid, array_to_string(w[greatest(a, b) + 1 :], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{_P}' || pre || '{_S}' || suf || '{_M}' || mid ELSE '{_S}' || suf || '{_P}' || pre || '{_M}' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""

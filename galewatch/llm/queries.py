@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, ngram_join, oracles, pieces, pii, quality, rules, substring_dedup, token_counts, url_filters
+from . import (
+    fingerprints, infilling, mixing, ngram_join, oracles, pieces, pii, quality, reply_trees, rules, spelling, substring_dedup,
+    token_counts, url_filters,
+)
 from .common import read_table, sha256_hex
 
 
@@ -74,13 +77,35 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    paths = reply_trees.format_paths(reply_trees.as_chains(turns.unionByName(more), "conv_id", "turn"))
+    return reply_trees.digests(paths).withColumnRenamed("tree", "conv_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infilling.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infilling.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_hex(F.col("output")).alias("output_sha256"), sha256_hex(back).alias("restored_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_document_fingerprints, op2_sentencepiece, op3_quality_classifier, op4_pii,
         op5_token_counts, op6_substring_dedup, op7_quality_rules,
         op8_mix_sources, op9_ngram_jaccard_join, op10_url_filters,
+        op11_chat_formatting, op12_fill_in_middle, op13_spelling_variants,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_ngram_jaccard_join": oracles.NGRAM_GROUPS, "op10_url_filters": oracles.URL_VERDICTS}
+    return {
+        "op9_ngram_jaccard_join": oracles.NGRAM_GROUPS, "op10_url_filters": oracles.URL_VERDICTS,
+        "op11_chat_formatting": oracles.CHATS, "op12_fill_in_middle": oracles.INFILLS,
+    }
