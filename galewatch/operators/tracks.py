@@ -4,27 +4,31 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_deg, box_iou, haversine_km
+from ..sources.scratch import kept
+from .scans import Axis, long_blocks, numbered, running_sum, with_neighbour
 
 
-def steps(points: DataFrame, *group: str) -> DataFrame:
-    """Distance, course and speed from each point to the next of its track (NULL at the last)."""
-    w = Window.partitionBy(*group).orderBy("valid_time")
-    nxt = lambda c: F.lead(c).over(w)
-    made = points.withColumns({"_lat": nxt("centroid_lat"), "_lon": nxt("centroid_lon"), "_t": nxt("valid_time")})
-    here = (F.col("centroid_lat"), F.col("centroid_lon"), F.col("_lat"), F.col("_lon"))
-    hours = (F.unix_seconds(F.col("_t").cast("timestamp")) - F.unix_seconds(F.col("valid_time").cast("timestamp"))) / 3600.0
-    return made.where("_t is not null").withColumns({"distance_km": haversine_km(*here), "bearing_deg": bearing_deg(*here), "hours": hours}).withColumn(
+def steps(points: DataFrame, *group: str, block: Column | None = None) -> DataFrame:
+    """Distance, course and speed from each point to the next of its track; the last point has no step.
+
+    Without a group all points are one track. Points are scanned by blocks of time (months, unless ``block``
+    names others), with the first point of the next block carried over.
+    """
+    made = with_neighbour(points, Axis(("valid_time",), group, block), "_next", "valid_time", "centroid_lat", "centroid_lon")
+    here = (F.col("centroid_lat"), F.col("centroid_lon"), F.col("_next.centroid_lat"), F.col("_next.centroid_lon"))
+    hours = (F.unix_seconds(F.col("_next.valid_time").cast("timestamp")) - F.unix_seconds(F.col("valid_time").cast("timestamp"))) / 3600.0
+    return made.where("_next is not null").withColumns({"distance_km": haversine_km(*here), "bearing_deg": bearing_deg(*here), "hours": hours}).withColumn(
         "speed_kmh", F.when(F.col("hours") > 0, F.col("distance_km") / F.col("hours"))
-    ).drop("_lat", "_lon", "_t")
+    ).drop("_next")
 
 
 def gated_pairs(boxes: DataFrame, frames: DataFrame, max_km: float | None, min_iou: float | None, max_dz: float | None) -> DataFrame:
     """Pairs of boxes of consecutive frames that pass every gate that has a threshold; cost in km."""
-    order = frames.select("valid_time", F.row_number().over(Window.orderBy("valid_time")).alias("k"))  # a row a frame
+    order = numbered(frames.select("valid_time"), Axis(("valid_time",)), "k")
     side = lambda p: boxes.join(order, "valid_time").select(
         "k", *[F.col(c).alias(p + c) for c in ("label_id", "lat_min", "lat_max", "lon_min", "lon_max", "centroid_lat", "centroid_lon", "peak_zscore", "valid_time")]
     )
@@ -130,42 +134,82 @@ def step_tracks(
         hits = []
     opened = lambda i, b: {"id": i, "lat": b["centroid_lat"], "lon": b["centroid_lon"], "missed": 0} | {c: b.get(c) for c in (*BOX, "peak_zscore")}
     hit = dict(hits)
-    kept = []
+    going = []
     for i, t in enumerate(state):
         if i in hit:
             ids[hit[i]] = t["id"]
-            kept.append(opened(t["id"], boxes[hit[i]]))
+            going.append(opened(t["id"], boxes[hit[i]]))
         elif max_gap is not None and t["missed"] + 1 <= max_gap:
-            kept.append(t | {"missed": t["missed"] + 1})
+            going.append(t | {"missed": t["missed"] + 1})
     for k, b in enumerate(boxes):
         if ids[k] is None:
             ids[k] = f"THR-{year:04d}-{next_id:04d}"
             next_id += 1
-            kept.append(opened(ids[k], b))
-    return kept, ids, next_id
+            going.append(opened(ids[k], b))
+    return going, ids, next_id
+
+
+def reached_frames(boxes: DataFrame, frames: DataFrame, max_km: float | None, max_gap: int | None, min_iou: float | None, max_dz: float | None, event: str = "event") -> DataFrame:
+    """(event, k) of the frames that a track may enter from an earlier one.
+
+    A track joins boxes at most ``max_gap`` missed frames apart that pass all gates. Where no such pair
+    crosses the border between two frames, no track does, and the walk may start anew. The gates are a
+    little wider here than in the walk, so that rounding never hides a pair. ``frames`` has k, without gaps.
+    """
+    reach = (max_gap or 0) + 1
+    have = [c for c in (*BOX, "peak_zscore") if c in boxes.columns]
+    side = lambda p: boxes.join(frames.select(event, "valid_time", "k"), [event, "valid_time"]).select(event, "k", *[F.col(c).alias(p + c) for c in ("centroid_lat", "centroid_lon", *have)])
+    a = side("a_").select("*", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("d")).withColumn("start", F.col("k")).withColumn("k", F.col("k") + F.col("d"))
+    both = a.join(side("b_"), [event, "k"])
+    if max_km is not None:
+        both = both.where(haversine_km(F.col("a_centroid_lat"), F.col("a_centroid_lon"), F.col("b_centroid_lat"), F.col("b_centroid_lon")) <= max_km * (1 + 1e-9) + 1e-6)
+    if min_iou is not None:
+        corner = lambda p: {k: F.col(p + c) for k, c in (("s", "lat_min"), ("n", "lat_max"), ("w", "lon_min"), ("e", "lon_max"))}
+        both = both.where(box_iou(corner("a_"), corner("b_")) >= min_iou - 1e-9) if set(BOX) <= set(have) else both.where("false")
+    if max_dz is not None:
+        both = both.where(F.abs(F.col("a_peak_zscore") - F.col("b_peak_zscore")) <= max_dz + 1e-9) if "peak_zscore" in have else both.where("false")
+    return both.select(event, F.explode(F.sequence(F.col("start") + 1, F.col("k"))).alias("k")).distinct()
+
+
+def segments(boxes: DataFrame, frames: DataFrame, max_km: float | None = None, max_gap: int | None = None, event: str = "event", min_iou: float | None = None, max_dz: float | None = None) -> DataFrame:
+    """Frames (event, valid_time) with k, their place in the event, and segment: no track goes from one segment to the next."""
+    axis = Axis(("valid_time",), (event,))
+    placed = numbered(frames.select(event, "valid_time").distinct(), axis, "k")
+    reached = reached_frames(boxes, placed, max_km, max_gap, min_iou, max_dz, event).withColumn("_in", F.lit(1))
+    marked = placed.join(reached, [event, "k"], "left")
+    return running_sum(marked, axis, F.col("_in").isNull().cast("long"), "segment").drop("_in")
 
 
 def track(
     boxes: DataFrame, frames: DataFrame, max_km: float | None = None, max_gap: int | None = None, event: str = "event", min_iou: float | None = None, max_dz: float | None = None
 ) -> DataFrame:
-    """Persistent ids for the boxes of every event: one task walks the frames of one event in time.
+    """Persistent ids for the boxes of every event, numbered in the order in which tracks begin.
 
     Frames without boxes count as misses. A NULL gap limit ends a track at its first miss; a gate without
-    a threshold is open.
+    a threshold is open. The frames of an event are cut into segments that no track crosses; a task walks
+    one segment, and the tracks begun in earlier segments are added to its numbers afterwards, so that
+    ids are those of one walk over the whole event. Rows with a null event or time are left out.
     """
     extra = [c for c in (*BOX, "peak_zscore") if c in boxes.columns]
-    rows = frames.select(event, "valid_time").join(boxes, [event, "valid_time"], "left")
-    schema = f"{event} string, valid_time timestamp_ntz, label_id long, centroid_lat double, centroid_lon double, threat_id string"
+    placed = kept(segments(boxes, frames, max_km, max_gap, event, min_iou, max_dz))
+    rows = placed.join(boxes, [event, "valid_time"], "left")
+    schema = f"{event} string, segment long, valid_time timestamp_ntz, label_id long, centroid_lat double, centroid_lon double, year int, number long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state, n, out = [], 1, []
+        head = (pdf[event].iloc[0], int(pdf["segment"].iloc[0]))
         for t, g in pdf.sort_values(["valid_time", "label_id"]).groupby("valid_time", sort=True):
             seen = g[g["label_id"].notna()].to_dict("records")
             state, ids, n = step_tracks(state, seen, n, t.year, max_km, max_gap, min_iou, max_dz)
-            out += [(pdf[event].iloc[0], t, int(b["label_id"]), b["centroid_lat"], b["centroid_lon"], i) for b, i in zip(seen, ids, strict=True)]
-        return pd.DataFrame(out, columns=[event, "valid_time", "label_id", "centroid_lat", "centroid_lon", "threat_id"])
-
-    return rows.select(event, "valid_time", "label_id", "centroid_lat", "centroid_lon", *extra).groupBy(event).applyInPandas(run, schema)
+            parts = [i.split("-") for i in ids]
+            out += [(*head, t, int(b["label_id"]), b["centroid_lat"], b["centroid_lon"], int(y), int(k)) for b, (_, y, k) in zip(seen, parts, strict=True)]
+        return pd.DataFrame(out, columns=[event, "segment", "valid_time", "label_id", "centroid_lat", "centroid_lon", "year", "number"])
+
+    walked = kept(rows.select(event, "segment", "valid_time", "label_id", "centroid_lat", "centroid_lon", *extra).groupBy(event, "segment").applyInPandas(run, schema))
+    made = walked.groupBy(event, "segment").agg(F.max("number").alias("made"))
+    ahead = running_sum(made, Axis(("segment",), (event,), long_blocks("segment")), F.col("made"), "ahead", before=True).select(event, "segment", "ahead")
+    threat_id = F.format_string("THR-%04d-%04d", "year", F.col("number") + F.col("ahead"))
+    return walked.join(ahead, [event, "segment"]).select(event, "valid_time", "label_id", "centroid_lat", "centroid_lon", threat_id.alias("threat_id"))
 
 
 def trajectories(tracked: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def bbox_area(spark, d):
 
 
 def _top_steps(spark, d):
-    return tracks.steps(detect.top_boxes(_boxes(spark, d)).withColumn("g", F.lit(1)), "g")
+    return tracks.steps(detect.top_boxes(_boxes(spark, d)))
 
 
 def haversine_steps(spark, d):
@@ -102,14 +102,10 @@ def track_gating(spark, d):
     return got.select(F.col("a_valid_time").alias("valid_time"), F.col("a_label_id").alias("a"), F.col("b_label_id").alias("b"), F.round("cost_km", 4).alias("cost_km"), F.round("iou", 6).alias("iou"))
 
 
-def _event():
-    """Events are half months here: what a task walks does not grow with the time axis."""
-    return F.concat(F.date_format("valid_time", "yyyy-MM"), F.when(F.dayofmonth("valid_time") <= 15, "a").otherwise("b"))
-
-
 def _tracked(spark, d):
-    frames = _obs(spark, d).select("valid_time").distinct().withColumn("event", _event())
-    return tracks.track(_boxes(spark, d).withColumn("event", _event()), frames, 400.0, 1, min_iou=0.0, max_dz=1.5)
+    one = F.lit("all").alias("event")
+    frames = _obs(spark, d).select("valid_time", one).distinct()
+    return tracks.track(_boxes(spark, d).select("*", one), frames, 400.0, 1, min_iou=0.0, max_dz=1.5)
 
 
 def track_assign(spark, d):
