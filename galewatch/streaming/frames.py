@@ -1,21 +1,11 @@
-"""Structured Streaming: windowed frames, anomalies against a static climatology, stateful tracks."""
+"""Structured Streaming: windowed frames and anomalies against a static climatology."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.meteo import z_score
-from ..operators.tracks import step_tracks
-
-TRACKED = "event string, valid_time timestamp, label_id long, centroid_lat double, centroid_lon double, threat_id string"
-STATE = "open string, next_id long, last double"
-
 
 def frame_means(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Cell means of tumbling windows; rows later than ``late`` behind the newest are dropped."""
@@ -30,30 +20,3 @@ def frame_means(events: DataFrame, width: str = "1 hour", late: str = "2 hours")
 def streamed_anomalies(frames: DataFrame, clim: DataFrame) -> DataFrame:
     """z of streamed cell means against a static table of node_id, mean, std."""
     return frames.join(clim, "node_id").withColumn("z", z_score(F.col("value"), F.col("mean"), F.col("std")))
-
-
-def streamed_tracks(boxes: DataFrame, max_km: float | None = None, max_gap: int | None = None, late: str = "1 hour") -> DataFrame:
-    """Ids for streamed boxes (event, valid_time, label_id, centroid_lat, centroid_lon).
-
-    State of an event: its open tracks and the next number. Frames of one batch are taken in time
-    order; boxes of a frame older than the last one taken start no second history and are left out.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, next_id, last = ([], 1, float("-inf"))
-        if state.exists:
-            held, next_id, last = state.get
-            opened = json.loads(held)
-        rows = pd.concat(list(batches)).sort_values(["valid_time", "label_id"])
-        out = []
-        for t, g in rows.groupby("valid_time", sort=True):
-            if t.timestamp() <= last:
-                continue
-            seen = g.to_dict("records")
-            opened, ids, next_id = step_tracks(opened, seen, next_id, t.year, max_km, max_gap)
-            last = t.timestamp()
-            out += [(key[0], t, b["label_id"], b["centroid_lat"], b["centroid_lon"], i) for b, i in zip(seen, ids, strict=True)]
-        state.update((json.dumps(opened), next_id, last))
-        yield pd.DataFrame(out, columns=["event", "valid_time", "label_id", "centroid_lat", "centroid_lon", "threat_id"])
-
-    return boxes.withWatermark("valid_time", late).groupBy("event").applyInPandasWithState(run, TRACKED, STATE, "append", GroupStateTimeout.NoTimeout)
