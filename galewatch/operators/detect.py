@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import box_area_km2
 from ..functions.meteo import z_score
+from ..sources.scratch import kept
+from .components import connected
+from .scans import Axis, long_blocks, numbered, running_sum, with_neighbour
 
 Z_THRESHOLD, LEAST_CELLS, LEAST_COVERAGE = 2.5, 2, 0.9
 
@@ -68,33 +71,28 @@ def label_regions(flags: DataFrame, frame: str = "valid_time") -> DataFrame:
     return flags.groupBy(frame).applyInPandas(run, schema)
 
 
-def label_runs(flags: DataFrame, rounds_dir: str, frame: str = "valid_time") -> DataFrame:
-    """The same labels without grouping frames into tasks, for grids that no task can hold: rows of
-    adjoining cells are merged into runs, and runs that touch take over the smallest key until
-    nothing changes. Each round is written below ``rounds_dir``."""
-    spark = flags.sparkSession
-    w = Window.partitionBy(frame, "lat_i").orderBy("lon_i")
-    fresh = F.coalesce((F.col("lon_i") > F.lag("lon_i").over(w) + 1).cast("int"), F.lit(1))
-    cells = flags.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w)).drop("_fresh")
-    runs = cells.groupBy(frame, "lat_i", "_run").agg(F.min("lon_i").alias("a"), F.max("lon_i").alias("b"), F.min("node_id").alias("key"))
-    runs.write.parquet(f"{rounds_dir}/runs")
-    runs = spark.read.parquet(f"{rounds_dir}/runs")
-    up = runs.select(frame, (F.col("lat_i") + 1).alias("lat_i"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("key").alias("other"))
-    touch = runs.join(up, [frame, "lat_i"]).where("a <= b2 and a2 <= b").select(frame, "key", "other")
-    pairs = touch.unionByName(touch.select(frame, F.col("other").alias("key"), F.col("key").alias("other")))
-    pairs.write.parquet(f"{rounds_dir}/pairs")
-    pairs = spark.read.parquet(f"{rounds_dir}/pairs")
-    root, k = runs.select(frame, "key", F.col("key").alias("root")), 0
-    while True:
-        seen = pairs.join(root.select(frame, F.col("key").alias("other"), F.col("root").alias("near")), [frame, "other"]).groupBy(frame, "key").agg(F.min("near").alias("near"))
-        step = root.join(seen, [frame, "key"], "left").select(frame, "key", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("old"))
-        step.write.parquet(f"{rounds_dir}/{k}")
-        step, k = spark.read.parquet(f"{rounds_dir}/{k}"), k + 1
-        root = step.select(frame, "key", "root")
-        if step.where("root <> old").isEmpty():
-            break
-    placed = cells.join(runs.join(root, [frame, "key"]).select(frame, "lat_i", "root", "a", "b"), [frame, "lat_i"]).where("lon_i between a and b")
-    return placed.withColumn("label_id", F.dense_rank().over(Window.partitionBy(frame).orderBy("root")).cast("long")).drop("a", "b", "_run", "root")
+def label_runs(flags: DataFrame, frame: str = "valid_time") -> DataFrame:
+    """The same labels without grouping frames into tasks, for grids that no task can hold.
+
+    Adjoining cells of a row are merged into runs; runs of neighbouring rows that touch are the edges of a
+    graph whose components are the regions (see components.connected), so the rounds are logarithmic in the
+    longest way through a region, also for a spiral. Rows and frames are scanned by blocks of 256 columns or
+    rows: no window grows with the grid.
+    """
+    row = Axis(("lon_i",), (frame, "lat_i"), long_blocks("lon_i", 256))
+    cells = with_neighbour(flags, row, "_west", "lon_i", ahead=False)
+    fresh = F.coalesce((F.col("lon_i") > F.col("_west.lon_i") + 1).cast("long"), F.lit(1).cast("long"))
+    cells = kept(running_sum(cells.withColumn("_fresh", fresh).drop("_west"), row, F.col("_fresh"), "_run").drop("_fresh"))
+    runs = kept(cells.groupBy(frame, "lat_i", "_run").agg(F.min("lon_i").alias("a"), F.max("lon_i").alias("b"), F.min("node_id").alias("node")))
+    # a run lists its blocks of columns, so that runs meet by an equal key and not in every pair of a row
+    spread = runs.select(frame, "lat_i", "a", "b", "node", F.explode(F.sequence(F.floor(F.col("a") / 32), F.floor(F.col("b") / 32))).alias("_at"))
+    north = spread.select(frame, (F.col("lat_i") + 1).alias("lat_i"), "_at", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("node").alias("other"))
+    touch = spread.join(north, [frame, "lat_i", "_at"]).where("a <= b2 and a2 <= b").select(frame, F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    roots, _ = connected(runs.select(frame, "node"), touch, frame)
+    first = Axis(("root",), (frame,), long_blocks("root"))
+    labels = numbered(roots.select(frame, "root").distinct(), first, "label_id")
+    placed = runs.select(frame, "lat_i", "_run", "node").join(roots, [frame, "node"]).join(labels, [frame, "root"])
+    return cells.join(placed.select(frame, "lat_i", "_run", "label_id"), [frame, "lat_i", "_run"]).drop("_run")
 
 
 def region_boxes(labelled: DataFrame, strength: Column | None = None, least: int = LEAST_CELLS) -> DataFrame:

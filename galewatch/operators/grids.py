@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def _brackets(target: DataFrame, axis: DataFrame, name: str) -> DataFrame:
     """Each target coordinate with the two axis points around it; outside the axis it has none."""
@@ -116,22 +120,31 @@ def ridge(sums: DataFrame, width: int, alpha: float) -> np.ndarray:
 
 
 def quantile_knots(pairs: DataFrame, knots: int = 201) -> DataFrame:
-    """(k, x, y): quantiles of prediction and reference; y never falls, repeated x are dropped."""
-    at = F.array(*[F.lit(i / (knots - 1)) for i in range(knots)])
-    both = pairs.agg(F.percentile("x", at).alias("xs"), F.percentile("y", at).alias("ys"))
-    rows = both.select(F.posexplode(F.arrays_zip("xs", "ys")).alias("k", "q")).select("k", F.col("q.xs").alias("x"), F.col("q.ys").alias("y"))
-    w = Window.orderBy("k")  # a row a knot
-    rising = rows.withColumn("y", F.max("y").over(w)).withColumn("_before", F.lag("x").over(w))
-    return rising.where("_before is null or x > _before").select("k", "x", "y")
+    """(k, x, y): exact quantiles of prediction and reference; y never falls, repeated x are dropped. ``pairs`` is
+    scanned a few times: give it as a table."""
+    at = [i / (knots - 1) for i in range(knots)]
+    xs, ys = (exact_quantiles(pairs, c, at) for c in ("x", "y"))
+    made, high = [], None
+    for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        high = y if high is None else high if y is None else max(high, y)
+        if x is not None and (k == 0 or x > xs[k - 1]):
+            made.append((k, x, high))
+    return pairs.sparkSession.createDataFrame(made, "k int, x double, y double")  # a row a knot
 
 
 def apply_quantile_map(rows: DataFrame, knots: DataFrame) -> DataFrame:
-    """Add ``mapped``: piecewise linear between knots, constant beyond the first and last."""
-    w = Window.orderBy("x")
-    spans = knots.select(F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.lag("x").over(w).alias("_b"))
-    low = F.col("_b").isNull() & (F.col("x") < F.col("x0"))
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("x") < F.col("x1")))
-    hit = rows.join(F.broadcast(spans), low | inside, "left")  # at most as many spans as knots
-    line = F.col("y0") + (F.col("x") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
-    value = F.when(F.col("x").isNull(), None).when(low | F.col("x1").isNull(), F.col("y0")).otherwise(line)
-    return hit.withColumn("mapped", value).drop("x0", "y0", "x1", "y1", "_b")
+    """Add ``mapped``: piecewise linear between knots, constant beyond the first and last.
+
+    The knots (a few hundred rows) are constants of the plan; each value finds its span by binary search.
+    """
+    got = sorted((r["x"], r["y"]) for r in knots.collect())  # a row a knot
+    if not got:
+        return rows.withColumn("mapped", F.lit(None).cast("double"))
+    xs, ys = [x for x, _ in got], [y for _, y in got]
+    cut = Bucketizer(splits=[-math.inf, *xs, math.inf], inputCol="x", outputCol="_span", handleInvalid="keep").transform(rows)
+    k = F.col("_span").cast("int")
+    at = lambda values, i: F.get(F.array(*[F.lit(float(v)) for v in values]), i)
+    x0, x1, y0, y1 = at(xs, k - 1), at(xs, k), at(ys, k - 1), at(ys, k)
+    line = y0 + (F.col("x") - x0) * (y1 - y0) / (x1 - x0)
+    value = F.when(F.col("x").isNull() | F.isnan("x"), None).when(k < 1, ys[0]).when(k >= len(xs), ys[-1]).otherwise(line)
+    return cut.withColumn("mapped", value).drop("_span")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+from .quantiles import exact_quantiles
+
 LEAST_COMMON = 0.5
 
 
@@ -25,11 +28,17 @@ def peak_preservation(pairs: DataFrame) -> DataFrame:
 
 
 def percentile_error(pairs: DataFrame) -> DataFrame:
-    at = F.array(F.lit(0.95), F.lit(0.99))
-    both = pairs.agg(F.percentile("p", at).alias("p"), F.percentile("r", at).alias("r"))
-    e = [F.abs(F.col("p")[k] - F.col("r")[k]) for k in (0, 1)]
-    known = F.array_compact(F.array(*e))  # the mean is over those that can be computed
-    return both.select(e[0].alias("p95_error"), e[1].alias("p99_error"), (F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))).alias("mean_error"))
+    """Differences of the 95 % and 99 % percentiles of p and r, and the mean of those that can be computed: one row.
+
+    The percentiles are exact and are found when this is called (see quantiles.exact_quantiles).
+    """
+    both = kept(pairs.select("p", "r"))
+    p, r = (exact_quantiles(both, c, (0.95, 0.99)) for c in ("p", "r"))
+    e = [None if x is None or y is None else abs(x - y) for x, y in zip(p, r, strict=True)]
+    known = [x for x in e if x is not None]
+    mean = sum(known) / len(known) if known else None
+    made = pairs.sparkSession.range(1)
+    return made.select(*[F.lit(v).cast("double").alias(n) for n, v in (("p95_error", e[0]), ("p99_error", e[1]), ("mean_error", mean))])
 
 
 def overlap(pairs: DataFrame, threshold: float) -> DataFrame:

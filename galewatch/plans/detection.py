@@ -57,6 +57,12 @@ def region_labels(spark, d):
     return _labels(spark, d).select("valid_time", "node_id", "label_id")
 
 
+def region_runs(spark, d):
+    """The same labels by runs of cells and components of the runs, without a frame in one task."""
+    flags = detect.extremes(_z(spark, d), "high", THRESHOLD).select("valid_time", "node_id", "lat_i", "lon_i")
+    return detect.label_runs(flags).select("valid_time", "node_id", "label_id")
+
+
 def region_boxes(spark, d):
     return _boxes(spark, d).withColumns(_r("centroid_lat", "centroid_lon", "peak_zscore"))
 
@@ -156,6 +162,7 @@ SQL = {
     "flag_extremes_high": f"WITH {S.Z} SELECT valid_time, node_id, round(z, 6) AS z FROM zs WHERE z > 1.0",
     "flag_extremes_low": f"WITH {S.Z} SELECT valid_time, node_id, round(z, 6) AS z FROM zs WHERE -z > 1.0",
     "region_labels": f"WITH RECURSIVE {S.REGION} SELECT valid_time, node_id, label_id FROM labels_",
+    "region_runs": f"WITH RECURSIVE {S.REGION} SELECT valid_time, node_id, label_id FROM labels_",
     "region_boxes": f"WITH RECURSIVE {S.BOX} SELECT valid_time, label_id, lat_min, lat_max, lon_min, lon_max, round(centroid_lat, 6) AS centroid_lat, round(centroid_lon, 6) AS centroid_lon, round(peak_zscore, 6) AS peak_zscore, cell_count FROM boxes",
     "top_box_per_frame": f"WITH RECURSIVE {S.TOP} SELECT valid_time, label_id, round(peak_zscore, 6) AS peak_zscore, cell_count FROM top",
     "frame_series": f"WITH RECURSIVE {S.BOX}, fr AS (SELECT DISTINCT valid_time FROM obs) SELECT fr.valid_time, round(max(peak_zscore), 6) AS max_z, coalesce(sum(cell_count), 0)::BIGINT AS cells, count(label_id) AS regions, count(label_id) > 0 AS detected FROM fr LEFT JOIN boxes b ON b.valid_time = fr.valid_time GROUP BY fr.valid_time",
@@ -179,6 +186,6 @@ SELECT round(avg(km), 6) AS mean_km, round(sqrt(avg(km * km)), 6) AS rms_km, rou
  (SELECT round(avg(abs(rh.h - ph.h)), 6)::DOUBLE FROM per JOIN rh USING (threat_id) JOIN ph USING (p_id) WHERE ids = 1) AS duration_error_hours FROM k""",
 }
 QUERIES = {f.__name__: f for f in (
-    climatology_stats, coverage_guard, zscore_cells, flag_extremes_high, flag_extremes_low, region_labels, region_boxes, top_box_per_frame, frame_series,
+    climatology_stats, coverage_guard, zscore_cells, flag_extremes_high, flag_extremes_low, region_labels, region_runs, region_boxes, top_box_per_frame, frame_series,
     peak_frame, bbox_area, haversine_steps, bearing_steps, speed_steps, track_gating, track_assign, trajectories, trajectory_upsert, reference_steps, tracking_scores,
 )}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect, grids, mesh, metrics
 from ..sources import sql as S
+from ..sources.scratch import kept
 from ..sources.tables import coarse_field, fine_field, observations, table
 
 
@@ -67,12 +68,16 @@ def ridge_fit(spark, d):
     return _rows(spark, d).select("i", "j", (F.lit(float(w[0])) + float(w[1]) * F.col("x")[1]).alias("fitted"), "y")
 
 
+def _mapped_pairs(spark, d):
+    return kept(_pairs(spark, d).where("p is not null").select("i", "j", F.col("p").alias("x"), F.col("r").alias("y")))
+
+
 def quantile_knots(spark, d):
-    return grids.quantile_knots(_pairs(spark, d).where("p is not null").select(F.col("p").alias("x"), F.col("r").alias("y")), 21).withColumns({c: F.round(c, 4) for c in ("x", "y")})
+    return grids.quantile_knots(_mapped_pairs(spark, d), 21).withColumns({c: F.round(c, 4) for c in ("x", "y")})
 
 
 def quantile_map(spark, d):
-    pairs = _pairs(spark, d).where("p is not null").select("i", "j", F.col("p").alias("x"), F.col("r").alias("y"))
+    pairs = _mapped_pairs(spark, d)
     return grids.apply_quantile_map(pairs, grids.quantile_knots(pairs, 21)).select("i", "j", F.round("mapped", 3).alias("mapped"))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import detect
+from ..operators.quantiles import exact_quantiles
 from ..sources import sql as S
+from ..sources.scratch import kept
 from ..sources.tables import fine_field, monthly_series, observations, table
 from .detection import _DIST, _STEP, _top_steps
 
@@ -25,10 +27,9 @@ def event_window(spark, d):
 
 
 def field_summary(spark, d):
-    v = F.col("value")
-    return fine_field(spark, d).agg(
-        *[F.round(x, 4).alias(n) for n, x in (("peak", F.max(v)), ("trough", F.min(v)), ("p95", F.percentile(v, F.lit(0.95))), ("missing", F.avg(v.isNull().cast("double"))))]
-    )
+    fine, v = kept(fine_field(spark, d)), F.col("value")
+    p95 = F.lit(exact_quantiles(fine, "value", (0.95,))[0]).cast("double")
+    return fine.agg(*[F.round(x, 4).alias(n) for n, x in (("peak", F.max(v)), ("trough", F.min(v)), ("p95", p95), ("missing", F.avg(v.isNull().cast("double"))))])
 
 
 def _monthly_tables(spark, d):

@@ -28,7 +28,7 @@ def test_runs_label_like_tasks(spark, tmp_path):
     cells = [(T0, i * 12 + j, i, j, float(i), float(j), 1.0) for i in range(12) for j in range(12) if rng.random() < 0.55]
     flags = spark.createDataFrame(cells, "valid_time timestamp_ntz, node_id long, lat_i long, lon_i long, latitude double, longitude double, z double")
     one = {(r.node_id, r.label_id) for r in detect.label_regions(flags).collect()}
-    other = {(r.node_id, r.label_id) for r in detect.label_runs(flags, tmp_path.as_uri()).collect()}
+    other = {(r.node_id, r.label_id) for r in detect.label_runs(flags).collect()}
     assert one == other
 
 
