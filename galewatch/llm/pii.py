@@ -2,7 +2,8 @@
 
 Candidate spans come from exact patterns (the *base* spans, always kept) and from looser ones: what
 an exact pattern misses because it runs on into the number behind it (two cards, a phone and an
-address), writes out (``(at)``) or has no plus sign. A regex, a gazetteer and a context labeler vote
+address), writes out (``(at)``) or has no plus sign. A looser card whose check digit fails, or that stands
+inside a word, is no candidate. A regex, a gazetteer and a context labeler vote
 on every candidate (yes 1, no -1, abstain 0), base or not: the first by its form and check digit, the
 second by number blocks and domains, the third by what stands before it. Expectation-maximisation
 over the counted vote patterns estimates how reliable each labeler is; the resulting probabilities
@@ -31,13 +32,11 @@ PATTERNS = {
 #: Looser forms, offered to the labelers, and a cheap sign that a text holds one.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{2,63}+){1,4}",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
-    "card": r"(?<![0-9.])(?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{2,7}|[0-9]{14,19})(?![0-9])",
+    "card": r"(?<![0-9A-Za-z.])(?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{2,7}|[0-9]{14,19})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9+().-])(?:\+?[0-9]{1,3}[-. ])?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])",
 }
 SIGNS = {
     "email": r"[\[(](?:at|AT)[\])]",
-    "ip": r"(?:[0-9]{1,3}\.){3}[0-9]",
     "card": r"[0-9](?:[\x20-]?[0-9]){13}",
     "phone": r"[0-9]{3}[-. ][0-9]{4}",
 }
@@ -62,20 +61,47 @@ CUES = {
 }
 AGAINST = r"(?i)(?:order|invoice|serial|isbn|version|build|article|item|ticket|id)\W*(?:no\W*|number\W*|#\W*)?$"
 CONTEXT = 40
+#: Spans that one loop over a text's spans takes.
+BLOCK = 128
 ROUNDS, PRIOR = 40, 0.5
 
 
+_SPANS = "array<struct<start:int,end:int,kind:int,base:boolean,body:string,before:string>>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it stands inside loops."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """An array as an array of arrays of BLOCK elements: loops that append stay short, however many there are."""
+
+    def cut(xs: Column) -> Column:
+        last = F.ceil(F.size(xs) / BLOCK).cast("int") - 1
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(xs), 1, 0))
+
+    return _let(items, cut)
+
+
+def _before(totals: Column, join) -> Column:
+    """For each number of an array what ``join`` makes of 0 and all numbers before it."""
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, n: F.struct(join(acc["pos"], n).alias("pos"), F.array_append(acc["out"], acc["pos"]).alias("out"))
+    return F.aggregate(totals, start, step, lambda acc: acc["out"])
+
+
 def _at(text: Column, pattern: str, kind: str, base: bool) -> Column:
     """Array of (start, end, kind, base, body, before) of all matches; positions in code points.
 
     The pieces between the matches and the matches themselves have the same order, so starts are
-    running sums of their lengths.
+    running sums of their lengths: of blocks first, then inside each block.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     joined = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, body: F.struct(gap.alias("gap"), body.alias("body")))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,body:string,before:string>>")
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
+    length = lambda x: F.char_length(x["gap"]) + F.char_length(x["body"])
+    totals = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + length(x)))
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["pos"] + F.char_length(x["gap"])
@@ -86,7 +112,8 @@ def _at(text: Column, pattern: str, kind: str, base: bool) -> Column:
         )
         return F.struct(end.alias("pos"), F.array_append(acc["out"], span).alias("out"))
 
-    return F.aggregate(joined, start, add, lambda acc: acc["out"])
+    placed = lambda block, pos: F.aggregate(block, F.struct(pos.alias("pos"), F.array().cast(_SPANS).alias("out")), add, lambda acc: acc["out"])
+    return _let(_blocks(joined), lambda blocks: F.flatten(F.zip_with(blocks, _before(totals(blocks), lambda a, n: a + n), placed)))
 
 
 def luhn(digits: Column) -> Column:
@@ -126,14 +153,34 @@ def _some(text: Column, kind: str) -> Column:
 
 def candidates(text: Column) -> Column:
     """All candidate spans of a text, base ones first."""
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,body:string,before:string>>")
-    parts = []
+    none = F.array().cast(_SPANS)
+    base = []
     for kind in KINDS:
-        base = F.when(_some(text, kind), F.filter(_at(text, PATTERNS[kind], kind, True), _checker(kind))).otherwise(none)
-        parts.append(F.coalesce(base, none))
-    for kind in KINDS:
-        parts.append(F.coalesce(F.when(F.regexp_like(text, F.lit(SIGNS[kind])), _at(text, LOOSE[kind], kind, False)).otherwise(none), none))
-    return F.concat(*parts)
+        exact = F.when(_some(text, kind), F.filter(_at(text, PATTERNS[kind], kind, True), _checker(kind))).otherwise(none)
+        base.append(F.coalesce(exact, none))
+    place = lambda s: s["start"].cast("long") * 2**31 + s["end"]
+
+    def with_looser(known: Column) -> Column:
+        parts = []
+        for kind in LOOSE:
+            more = F.coalesce(F.when(F.regexp_like(text, F.lit(SIGNS[kind])), F.filter(_at(text, LOOSE[kind], kind, False), _looser(kind))).otherwise(none), none)
+            parts.append(more)
+        # what the base has already goes by its place, through a hash set
+        more = F.concat(*parts)
+        fresh = lambda xs: F.array_except(F.transform(xs, place), F.transform(known, place))
+        left = lambda xs: _let(fresh(xs), lambda f: F.when(F.size(f) == F.size(xs), xs).when(F.size(f) == 0, F.slice(xs, 1, 0)).otherwise(F.filter(xs, _among(f, place))))
+        return F.concat(known, _let(more, left))
+
+    return _let(F.concat(*base), with_looser)
+
+
+def _among(places: Column, place):
+    return lambda s: F.array_contains(places, place(s))
+
+
+def _looser(kind: str):
+    """A failed check digit, or a number of digits that no phone has, is a veto: nothing outvotes it."""
+    return lambda s: F.lit(True) if kind == "email" else _valid(s, kind)
 
 
 def votes(span: Column) -> list[Column]:
@@ -263,12 +310,20 @@ def listing(spans: Column) -> Column:
 def redact(text: Column, found: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; overlapping spans become one."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        fresh = s["start"] >= acc["pos"]
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(fresh, F.concat(acc["out"], gap, F.element_at(names, s["kind"] + 1))).otherwise(acc["out"]).alias("out"))
+    def hidden(block: Column, at: Column) -> Column:
+        def add(acc: Column, s: Column) -> Column:
+            gap = F.substring(at["piece"], acc["pos"] - at["pos"] + 1, s["start"] - acc["pos"])
+            fresh = s["start"] >= acc["pos"]
+            return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(fresh, F.concat(acc["out"], gap, F.element_at(names, s["kind"] + 1))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(at["pos"].alias("pos"), F.lit("").alias("out")), add, lambda acc: acc["out"])
+
+    def pieces(blocks: Column) -> Column:
+        """A block's piece of the text: from the last end before it to the last end in it."""
+        ends = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+        piece = lambda a, e: F.struct(a.alias("pos"), F.substring(text, a + 1, F.greatest(e - a, F.lit(0))).alias("piece"))
+        return _let(ends, lambda e: F.zip_with(_before(e, F.greatest), e, piece))
 
-    done = F.aggregate(found, start, add)
-    return F.when(F.size(found) > 0, F.concat(done["out"], F.substring(text, done["pos"] + 1, F.lit(2**31 - 1)))).otherwise(text)
+    rest = F.substring(text, F.array_max(F.transform(found, lambda s: s["end"])) + 1, F.lit(2**31 - 1))
+    return F.when(F.size(found) > 0, F.concat(_let(_blocks(found), lambda b: F.array_join(F.zip_with(b, pieces(b), hidden), "")), rest)).otherwise(text)

@@ -191,6 +191,37 @@ def test_looser_spans_and_redaction(spark):
     assert r[3].clean == "clean text only" and r[1].clean.endswith("or <email> at <ip>")
 
 
+def test_planted_spans_are_listed_and_false_ones_are_not(spark):
+    """Cards that run on into another number, written-out addresses and phones without a plus sign are added; numbers
+    that fail the check digit, stand inside a word or are too short are not."""
+    good, other = "4111111111111111", "5500005555555559"
+    true = [f"paid by {good} {other} today", "write to jane (at) example (dot) org please", "call me: (415) 555-2671 now", f"card {good[:4]} {good[4:8]} {good[8:12]} {good[12:]} 12"]
+    false = ["order 4111111111111112 of 1234567890123456 left", f"hash ab{good}cd stays", f"x{good}", "id 5555-1234", "time 12:30-14:30 and 2020-05-16", f"v1.{good}.2"]
+    texts = {k: t for k, t in enumerate((true + false) * 30)}
+    got = {r.doc_id: r.found for r in pii.find_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for k, t in texts.items():
+        added = [(s.kind, t[s.start : s.end]) for s in got[k] if not s.base]
+        base = [s for s in got[k] if s.base]
+        if k % 10 < 4:
+            assert added or k % 10 == 2 and not base, (t, got[k])
+            for kind, body in added:
+                digits = re.sub("[^0-9]", "", body)
+                assert kind != 2 or luhn(digits), body
+        else:
+            assert not added, (t, added)
+    assert {(s.kind, texts[0][s.start : s.end]) for s in got[0]} == {(2, good), (2, other)}
+
+
+def test_many_spans_in_one_text(spark):
+    """More spans than a loop takes at once: places, order and redaction stay exact."""
+    parts = [f"10.0.{k % 256}.{k % 199} u{k}@mail.example" for k in range(1500)]
+    t = "é ".join(parts)
+    df = spark.createDataFrame([(1, t, t)], "doc_id long, text string, t string")
+    r = pii.find_spans(df).withColumn("clean", pii.redact(F.col("t"), F.col("found"))).first()
+    assert [(s.start, s.kind, s.end) for s in r.found] == base_spans(t) and len(r.found) == 3000
+    assert r.clean == "é ".join(["<ip> <email>"] * 1500)
+
+
 # token counts
 
 
