@@ -277,10 +277,10 @@ def least_difference(u: np.ndarray, v: np.ndarray, depth: int = 3) -> int:
 def verify_pairs(pairs: DataFrame, docs: DataFrame, column: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets reach the threshold: the suffix filter first, then
     the intersection."""
-    pairs = persist_table(pairs)
+    pairs = persist_table(pairs.select("a", "b"))
     ids, none = few(persist_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()))
     if none:
-        return pairs.select("a", "b")
+        return pairs
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Shingler(n)
@@ -309,6 +309,7 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, column: str = "text", n: int
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("v")), "b").select("a", "b", "u", "v")
     found = persist_table(map_arrow(both, check, "a long, b long"))
     drop_table(sets)
+    drop_table(pairs)
     return found
 
 
@@ -342,10 +343,10 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     copied = persist_table(classes.where("copies > 1").select(*key, "rep"))
     members = signed.select("doc_id", *key).join(copied, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     members = persist_table(members)
+    drop_table(copied)
     # one document of each class goes on: those that represent themselves
     own = members.where("rep = doc_id and n_shingles > 0").select("doc_id").distinct()
-    # merged at every size, so that a small input costs what its share of a large one does
-    reps = signed.where("n_shingles > 0").join(own.hint("merge"), "doc_id", "left_semi")
+    reps = signed.where("n_shingles > 0").join(own, "doc_id", "left_semi")
     # of rows that share an id the one with the smallest hashes of its set stands for it
     again, none = few(persist_table(members.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")))
     if not none:
@@ -365,6 +366,7 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     near = size.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
     far = size.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     roots = None
+    bitmaps = signed.select("doc_id", "bits")
     found: list[DataFrame] = []
     tried: DataFrame | None = None  # pairs that have been verified, whatever came of it
     for hub in ("hub1", "hub2"):
@@ -374,14 +376,18 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
         best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
         star = star.withColumn("k", F.row_number().over(best)).where(F.col("k") <= HUBS).drop("k")
         star = star.join(near, "a").join(far, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("shared") * 8 >= F.least("pa", "pb")))
-        star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        swap = F.col("a") > F.col("b")
+        pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+        star = star.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb")).distinct()
         if roots is not None:  # only what the first round left apart
             star = _apart(star, roots).join(tried, ["a", "b"], "left_anti")
         star = persist_table(star)
-        tried = star if tried is None else tried.unionByName(star)
-        found.append(verify_pairs(star, docs, column, n, percent))
+        tried = star.select("a", "b") if tried is None else tried.unionByName(star.select("a", "b"))
+        # bitmaps first: what they rule out moves no sets
+        found.append(verify_pairs(_bitmap_filter(star, bitmaps, percent), docs, column, n, percent))
         edges = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         roots = connect(edges)
+    drop_table(hubs)
     # exact round: sets of one prefix shingle in different groups
     placed = lists.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     groups = placed.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -400,8 +406,10 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     rows = met.select(pick("da", "db").alias("a"), pick("db", "da").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"))
     pairs = persist_table(_shared(rows, percent).join(tried, ["a", "b"], "left_anti"))
-    pairs = _bitmap_filter(pairs, signed.select("doc_id", "bits"), percent)
-    found.append(verify_pairs(pairs.select("a", "b"), docs, column, n, percent))
+    for done in (left, lists, size):
+        drop_table(done)
+    found.append(verify_pairs(_bitmap_filter(pairs, bitmaps, percent), docs, column, n, percent))
+    drop_table(signed)
     edges = found[0].unionByName(found[1]).unionByName(found[2])
     return members, connect(edges)
 
@@ -410,7 +418,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends have different roots."""
     x = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
     x = x.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return x.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return x.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
 
 def _bitmap_filter(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
