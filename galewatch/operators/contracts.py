@@ -53,6 +53,12 @@ def with_previous(rows: DataFrame, key: str = "threat_id", time: str = "timestam
     return rows.withColumn("previous_time", F.lag(time).over(Window.partitionBy(key).orderBy(time)))
 
 
+def ordered_history(rows: DataFrame, key: str = "threat_id", time: str = "timestamp") -> DataFrame:
+    """Rows of histories by key and time; ContractError where a key or a time is missing or a history has a time twice."""
+    marked = with_previous(rows, key, time)
+    return expect(marked, history_rules(key, time)).drop("previous_time").orderBy(key, time)
+
+
 def concat_blocks(blocks: list[DataFrame], *key: str) -> DataFrame:
     """Blocks one after the other; ContractError if two of them have a key in common, or one has it twice."""
     joined = blocks[0]

@@ -11,6 +11,7 @@ from ..functions.geo import box_area_km2
 from ..functions.meteo import z_score
 from ..sources.scratch import kept
 from .components import connected
+from .contracts import ContractError
 from .scans import Axis, long_blocks, numbered, running_sum, with_neighbour
 
 Z_THRESHOLD, LEAST_CELLS, LEAST_COVERAGE = 2.5, 2, 0.9
@@ -27,6 +28,14 @@ def coverage(clim: DataFrame) -> DataFrame:
     return clim.agg(share.alias("coverage"), (share >= LEAST_COVERAGE).alias("sufficient"), F.count(F.lit(1)).alias("cells"))
 
 
+def sufficient(clim: DataFrame) -> DataFrame:
+    """The climatology itself, if enough of its cells have a mean; else ContractError."""
+    got = coverage(clim).first()
+    if not got["sufficient"]:
+        raise ContractError(f"{got['coverage'] or 0:.1%} of {got['cells']} cells have a mean, less than {LEAST_COVERAGE:.0%}")
+    return clim
+
+
 def anomalies(obs: DataFrame, clim: DataFrame) -> DataFrame:
     """z of every observation. The climatology has a row a cell and is joined as Spark sees fit."""
     return obs.join(clim.select("lat_i", "lon_i", "mean", "std"), ["lat_i", "lon_i"]).withColumn("z", z_score(F.col("value"), F.col("mean"), F.col("std")))

@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.meteo import EARTH_M
 from .quantiles import exact_quantiles
 
 
@@ -23,8 +24,9 @@ def _brackets(target: DataFrame, axis: DataFrame, name: str) -> DataFrame:
     return target.join(F.broadcast(pairs), inside, "left").select(f"{name}_t", F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
 
 
-def bilinear(field: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """``field`` (i, j, value) at every (i_t, j_t): NULL outside the domain or where a corner is."""
+def bilinear(field: DataFrame, rows: DataFrame, cols: DataFrame, *group: str) -> DataFrame:
+    """``field`` (i, j, value) at every (i_t, j_t): NULL outside the domain or where a corner is. With a group (times,
+    say) one field for each; all have the same axes."""
     axis = lambda c: field.select(F.col(c).cast("double").alias("coord")).distinct()
     spots = _brackets(rows, axis("i"), "i").join(_brackets(cols, axis("j"), "j"))  # the target grid itself
     u = (F.col("i_t") - F.col("i_lo")) / (F.col("i_hi") - F.col("i_lo"))
@@ -34,9 +36,10 @@ def bilinear(field: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     ])
     # the field is read once for all four corners
     wanted = spots.select("i_t", "j_t", F.explode(corners).alias("c")).select("i_t", "j_t", "c.*")
-    cells = field.select(F.col("i").cast("double").alias("i"), F.col("j").cast("double").alias("j"), "value")
-    sums = wanted.join(cells, ["i", "j"], "left").groupBy("i_t", "j_t").agg(F.sum(F.col("weight") * F.col("value")).alias("value"), F.count("value").alias("known"))
-    return sums.select("i_t", "j_t", F.when(F.col("known") == 4, F.col("value")).alias("value"))
+    wanted = wanted.join(field.select(*group).distinct()) if group else wanted  # the target grid of each time
+    cells = field.select(*group, F.col("i").cast("double").alias("i"), F.col("j").cast("double").alias("j"), "value")
+    sums = wanted.join(cells, [*group, "i", "j"], "left").groupBy(*group, "i_t", "j_t").agg(F.sum(F.col("weight") * F.col("value")).alias("value"), F.count("value").alias("known"))
+    return sums.select(*group, "i_t", "j_t", F.when(F.col("known") == 4, F.col("value")).alias("value"))
 
 
 def nearest(field: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
@@ -56,14 +59,14 @@ def crop(field: DataFrame, i: tuple[float, float], j: tuple[float, float]) -> Da
     return field.where(F.col("i").between(min(i), max(i)) & F.col("j").between(min(j), max(j)))
 
 
-def neighbourhood(field: DataFrame, radius: int) -> DataFrame:
-    """(i, j, di, dj, value): every cell's neighbours, with the edge repeated beyond it."""
+def neighbourhood(field: DataFrame, radius: int, *group: str) -> DataFrame:
+    """(group, i, j, di, dj, value): every cell's neighbours in its group, with the edge repeated beyond it."""
     size = field.agg(F.max("i").alias("top_i"), F.max("j").alias("top_j"))
     steps = F.sequence(F.lit(-radius), F.lit(radius))
-    wanted = field.select("i", "j").join(size).select("*", F.explode(steps).alias("di")).select("*", F.explode(steps).alias("dj"))  # one row of sizes
+    wanted = field.select(*group, "i", "j").join(F.broadcast(size)).select("*", F.explode(steps).alias("di")).select("*", F.explode(steps).alias("dj"))  # one row of sizes
     clamp = lambda x, d, top: F.least(F.greatest(F.col(x) + F.col(d), F.lit(0)), F.col(top))
-    wanted = wanted.select("i", "j", "di", "dj", clamp("i", "di", "top_i").alias("ni"), clamp("j", "dj", "top_j").alias("nj"))
-    return wanted.join(field.select(F.col("i").alias("ni"), F.col("j").alias("nj"), "value"), ["ni", "nj"]).select("i", "j", "di", "dj", "value")
+    wanted = wanted.select(*group, "i", "j", "di", "dj", clamp("i", "di", "top_i").alias("ni"), clamp("j", "dj", "top_j").alias("nj"))
+    return wanted.join(field.select(*group, F.col("i").alias("ni"), F.col("j").alias("nj"), "value"), [*group, "ni", "nj"]).select(*group, "i", "j", "di", "dj", "value")
 
 
 def gradients(field: DataFrame) -> DataFrame:
@@ -76,12 +79,41 @@ def gradients(field: DataFrame) -> DataFrame:
     return out
 
 
-def filter_features(field: DataFrame, radius: int) -> DataFrame:
-    """(i, j, x): features 1, the centre, and each neighbour less the centre."""
-    around = neighbourhood(field, radius).join(field.select("i", "j", F.col("value").alias("centre")), ["i", "j"])
+def divergence(field: DataFrame, u: str = "u", v: str = "v", *group: str) -> DataFrame:
+    """Add divergence in 1/s of winds in m/s on a regular grid (latitude, longitude): du/dx + dv/dy, positive v to the north.
+
+    Differences are centred, one-sided at the edges; metres of a degree of longitude are those of the grid's middle
+    latitude. NULL where a neighbour that is needed is missing; with one row or column a step of 0.25 is taken.
+    """
+    ends = field.agg(*[f(c).alias(f"_{n}_{c}") for c in ("latitude", "longitude") for n, f in (("low", F.min), ("high", F.max), ("n", F.count_distinct))])
+    middle = F.radians((F.col("_low_latitude") + F.col("_high_latitude")) / 2)
+    made = field.join(F.broadcast(ends))  # one row
+    parts = []
+    for value, axis, other, metres in ((u, "longitude", "latitude", F.cos(middle)), (v, "latitude", "longitude", F.lit(1.0))):
+        step = F.when(F.col(f"_n_{axis}") > 1, (F.col(f"_high_{axis}") - F.col(f"_low_{axis}")) / (F.col(f"_n_{axis}") - 1)).otherwise(0.25)
+        w = Window.partitionBy(*group, other).orderBy(axis)
+        near = lambda shift, sign, value=value, axis=axis, step=step, w=w: F.when(F.abs(shift(axis).over(w) - F.col(axis) - sign * step) < step / 2, shift(value).over(w))
+        before, after, here = near(F.lag, -1), near(F.lead, 1), F.col(value)
+        first, last = (F.abs(F.col(axis) - F.col(f"_{e}_{axis}")) < step / 2 for e in ("low", "high"))
+        index = F.when(first, after - here).when(last, here - before).otherwise((after - before) / 2)
+        made = made.withColumn(f"_d{axis}", index / (step * metres * (math.pi / 180 * EARTH_M)))
+        parts.append(F.col(f"_d{axis}"))
+    return made.withColumn("divergence", parts[0] + parts[1]).drop(*[c for c in made.columns if c.startswith("_")])
+
+
+def filter_features(field: DataFrame, radius: int, *group: str) -> DataFrame:
+    """(group, i, j, x): features 1, the centre, and each neighbour less the centre."""
+    around = neighbourhood(field, radius, *group).join(field.select(*group, "i", "j", F.col("value").alias("centre")), [*group, "i", "j"])
     parts = F.array_sort(F.collect_list(F.struct("di", "dj", (F.col("value") - F.col("centre")).alias("d"))))
-    got = around.groupBy("i", "j").agg(F.first("centre").alias("centre"), parts.alias("p"))
-    return got.select("i", "j", F.concat(F.array(F.lit(1.0), F.col("centre")), F.transform("p", lambda s: s["d"])).alias("x"))
+    got = around.groupBy(*group, "i", "j").agg(F.first("centre").alias("centre"), parts.alias("p"))
+    return got.select(*group, "i", "j", F.concat(F.array(F.lit(1.0), F.col("centre")), F.transform("p", lambda s: s["d"])).alias("x"))
+
+
+def within(x: Column, radius: int, smaller: int) -> Column:
+    """Features of a smaller radius out of those of ``radius``."""
+    side = 2 * radius + 1
+    places = [1, 2] + [3 + i * side + j for i in range(side) for j in range(side) if max(abs(i - radius), abs(j - radius)) <= smaller]
+    return F.transform(F.array(*map(F.lit, places)), lambda k: F.element_at(x, k))
 
 
 def normal_equations(rows: DataFrame, width: int) -> DataFrame:

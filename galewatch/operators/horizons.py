@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from . import grids
 from .escalation import fit_escalation
 from .mesh import histories
+from .scans import Axis, numbered
 
 MOST_STEPS = 24
 
@@ -84,15 +86,19 @@ def fit_quality(sums: DataFrame, width: int, alpha: float = 0.0) -> tuple[float,
 
 
 def radius_sweep(field: DataFrame, target: DataFrame, radii: tuple[int, ...], alpha: float) -> DataFrame:
-    """RMSE of neighbourhood filters of several radii on every fourth column, fitted on the others: radius, rmse."""
-    out = None
+    """RMSE of neighbourhood filters of several radii on every fourth column, fitted on the others: radius, rmse.
+
+    The widest neighbourhood is gathered once; smaller ones are taken out of it.
+    """
+    widest = max(radii)
+    rows = kept(grids.filter_features(field, widest).join(target.select("i", "j", F.col("value").alias("y")), ["i", "j"]))
+    errors = []
     for r in radii:
         width = 2 + (2 * r + 1) ** 2
-        rows = grids.filter_features(field, r).join(target.select("i", "j", F.col("value").alias("y")), ["i", "j"])
-        w = grids.ridge(grids.normal_equations(rows.where("j % 4 <> 3").select("x", "y"), width), width, alpha)
-        one = rows.where("j % 4 = 3").agg(F.lit(r).alias("radius"), F.sqrt(F.avg(F.pow(dot(F.col("x"), w) - F.col("y"), 2))).alias("rmse"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        own = grids.within(F.col("x"), widest, r)
+        w = grids.ridge(grids.normal_equations(rows.where("j % 4 <> 3").select(own.alias("x"), "y"), width), width, alpha)
+        errors.append(F.struct(F.lit(r).alias("radius"), F.sqrt(F.avg(F.pow(dot(own, w) - F.col("y"), 2))).alias("rmse")))
+    return rows.where("j % 4 = 3").agg(F.array(*errors).alias("e")).select(F.inline("e"))
 
 
 def floored(prediction: Column, variable: str) -> Column:
@@ -100,11 +106,13 @@ def floored(prediction: Column, variable: str) -> Column:
     return F.greatest(prediction, F.lit(0.0)) if variable == "tp" else prediction
 
 
-def stratified_folds(rows: DataFrame, folds: int, order: list[str], label: str = "label") -> DataFrame:
+def stratified_folds(rows: DataFrame, folds: int, order: list[str], label: str = "label", block: Column | None = None) -> DataFrame:
     """Add fold (0 to folds - 1): classes spread evenly, rows of a class in their order, without shuffling.
 
     Labels sorted by class are dealt round-robin, which fixes how many rows of each class a fold has; each
-    class's rows then fill its folds one after the other. The class of the first row comes first.
+    class's rows then fill its folds one after the other. The class of the first row comes first. Places in a
+    class are counted by blocks of the order (its first column, and years of the second, unless ``block``
+    names others), so no window holds a class.
     """
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
     if not counts:
@@ -114,9 +122,11 @@ def stratified_folds(rows: DataFrame, folds: int, order: list[str], label: str =
     for c in sorted(counts, key=lambda c: (c != first, c)):
         size = [(at + counts[c] - 1 - f) // folds - (at - 1 - f) // folds for f in range(folds)]
         bounds[c], at = np.cumsum(size).tolist(), at + counts[c]
-    k = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+    if block is None:
+        block = F.struct(F.col(order[0]).alias("a"), *[F.year(c).alias("b") for c in order[1:2]])
+    placed = numbered(rows, Axis(tuple(order), (label,), block), "_k")
     fold = F.coalesce(*[F.when(F.col(label) == c, F.size(F.filter(F.array(*map(F.lit, b)), _below))) for c, b in bounds.items()])
-    return rows.withColumn("_k", k).withColumn("fold", fold).drop("_k")
+    return placed.withColumn("fold", fold).drop("_k")
 
 
 def _below(bound: Column) -> Column:
@@ -129,11 +139,12 @@ def out_of_fold(rows: DataFrame, features: list[str], most_folds: int = 5) -> Da
     As many folds as the rarer class has rows, at most ``most_folds``; with fewer than two the model's own
     rows are scored.
     """
+    rows = kept(rows)
     sizes = rows.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).first()
     folds = int(min(most_folds, sizes["a"] or 0, sizes["b"] or 0))
     if folds < 2:
         return fit_escalation(rows, features).withColumn("fold", F.lit(0))
-    dealt = stratified_folds(rows, folds, ["threat_id", "timestamp"])
+    dealt = kept(stratified_folds(rows, folds, ["threat_id", "timestamp"]))
     out = None
     for f in range(folds):
         one = fit_escalation(dealt.where(F.col("fold") != f), features, dealt.where(F.col("fold") == f)).withColumn("fold", F.lit(f))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import kept
 from .quantiles import exact_quantiles
+from .scans import Axis, running_sum
 
 LEAST_COMMON = 0.5
 
@@ -62,28 +63,24 @@ def confusion(rows: DataFrame) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", precision.alias("precision"), recall.alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), (1 - precision).alias("false_alarm"), (1 - recall).alias("miss"))
 
 
-def brier_skill(scores: DataFrame) -> DataFrame:
-    b = scores.agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), F.avg(F.col("y").cast("double")).alias("base_rate"))
+def brier_skill(scores: DataFrame, *group: str) -> DataFrame:
+    b = scores.groupBy(*group).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), F.avg(F.col("y").cast("double")).alias("base_rate"))
     ref = F.col("base_rate") * (1 - F.col("base_rate"))
-    return b.select("brier", "base_rate", F.when(ref > 0, 1 - F.col("brier") / ref).alias("skill"))
+    return b.select(*group, "brier", "base_rate", F.when(ref > 0, 1 - F.col("brier") / ref).alias("skill"))
 
 
-def roc_auc(scores: DataFrame, bins: int = 1024) -> DataFrame:
-    """By average ranks; NULL with one class.
+def roc_auc(scores: DataFrame, bins: int = 1024, group: tuple[str, ...] = ()) -> DataFrame:
+    """By average ranks, for each group; NULL with one class.
 
     Equal scores are summed first. Ranks then come in two steps, so that no window holds more than
-    a bin's scores: rows before a bin (a table of ``bins`` rows), and before a score inside its bin.
+    a bin's scores: rows before a bin (a table of ``bins`` rows a group), and before a score inside its bin.
     """
-    by_p = scores.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
-    by_p = by_p.withColumn("bin", F.least(F.greatest(F.floor(F.col("p") * bins), F.lit(0)), F.lit(bins - 1)))
-    past = (Window.unboundedPreceding, -1)
-    totals = by_p.groupBy("bin").agg(F.sum("n").alias("in_bin"))
-    ahead = totals.select("bin", F.coalesce(F.sum("in_bin").over(Window.orderBy("bin").rowsBetween(*past)), F.lit(0)).alias("ahead"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("bin").orderBy("p").rowsBetween(*past)), F.lit(0))
-    ranked = by_p.withColumn("inside", inside).join(F.broadcast(ahead), "bin")  # at most ``bins`` rows
-    ranked = ranked.withColumn("rank", F.col("ahead") + F.col("inside") + (F.col("n") + 1) / 2)
-    s = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("a"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("b"))
-    return s.select(F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("r") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b"))).alias("auc"))
+    by_p = scores.groupBy(*group, "p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
+    axis = Axis(("p",), group, F.least(F.greatest(F.floor(F.col("p") * bins), F.lit(0)), F.lit(bins - 1)))
+    ranked = running_sum(by_p, axis, F.col("n"), "below", before=True)
+    ranked = ranked.withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
+    s = ranked.groupBy(*group).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("a"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("b"))
+    return s.select(*group, F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("r") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b"))).alias("auc"))
 
 
 def reliability(scores: DataFrame, bins: int = 10) -> DataFrame:

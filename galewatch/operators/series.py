@@ -110,3 +110,36 @@ def cadence_hours(rows: DataFrame) -> DataFrame:
     secs = F.unix_seconds(F.col("timestamp").cast("timestamp"))
     gaps = rows.withColumn("gap", (secs - F.lag(secs).over(by_time())) / 3600.0)
     return gaps.groupBy("threat_id").agg(F.when(F.min("gap") > 0, F.percentile("gap", F.lit(0.5))).alias("cadence_hours"))
+
+
+# Fixed wording and cuts of the summary: hPa in three hours, 1/s, mm in three hours, K.
+_FALLS = ((-3.0, "rapid 3-hour pressure falls (most recent: %+.1f hPa/3h)"), (-1.5, "steady pressure falls (most recent: %+.1f hPa/3h)"))
+_RISE = (1.5, "pressure rises (most recent: %+.1f hPa/3h), suggesting weakening")
+_STEADY = "near-steady pressure (most recent: %+.1f hPa/3h)"
+_CONVERGES = ((-5e-5, "strong low-level wind convergence (div: %.2e s⁻¹)"), (-1e-5, "moderate low-level convergence (div: %.2e s⁻¹)"))
+_RAIN = ((10.0, "intense precipitation (%.1f mm/3h at centroid)"), (2.0, "moderate precipitation (%.1f mm/3h at centroid)"))
+_WARM, _COLD = "positive surface temperature anomaly (%+.1f K)", "negative surface temperature anomaly (%+.1f K)"
+_NOTHING, _ONE, _MORE = "No significant precursor signal detected in the analysed window.", "Evolution driven by %s.", "Evolution driven by %s, with supporting signals: %s."
+
+
+def explanations(rows: DataFrame, key: str = "threat_id", time: str = "timestamp") -> DataFrame:
+    """(key, summary): what the last known value of each precursor says, in one sentence.
+
+    Reads pressure_tendency_3h_hpa, wind_divergence_s1, precipitation_rate_mm3h and t2m_anomaly_k; one that is
+    never known, or that crosses no cut, says nothing (but pressure always says something). The last
+    values are taken by an aggregate, so a long history is not put in order.
+    """
+    names = {"p": "pressure_tendency_3h_hpa", "d": "wind_divergence_s1", "r": "precipitation_rate_mm3h", "t": "t2m_anomaly_k"}
+    last = rows.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(n) for n, c in names.items()])
+    p, d, r, t = (F.col(n) for n in names)
+    say = lambda text, x: F.format_string(text, x)
+    drivers = F.array_compact(F.array(
+        F.when(p < _FALLS[0][0], say(_FALLS[0][1], p)).when(p < _FALLS[1][0], say(_FALLS[1][1], p)).when(p > _RISE[0], say(_RISE[1], p)).when(p.isNotNull(), say(_STEADY, p)),
+        F.when(d < _CONVERGES[0][0], say(_CONVERGES[0][1], d)).when(d < _CONVERGES[1][0], say(_CONVERGES[1][1], d)),
+        F.when(r > _RAIN[0][0], say(_RAIN[0][1], r)).when(r > _RAIN[1][0], say(_RAIN[1][1], r)),
+        F.when(t > 2.0, say(_WARM, t)).when(t < -2.0, say(_COLD, t)),
+    ))
+    said = last.withColumn("drivers", drivers)
+    rest = F.array_join(F.slice("drivers", F.lit(2), F.greatest(F.size("drivers") - 1, F.lit(0))), "; ")
+    n = F.size("drivers")
+    return said.select(key, F.when(n == 0, _NOTHING).when(n == 1, say(_ONE, F.get("drivers", F.lit(0)))).otherwise(F.format_string(_MORE, F.get("drivers", F.lit(0)), rest)).alias("summary"))

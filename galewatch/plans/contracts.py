@@ -15,8 +15,9 @@ SEVERITIES = ("moderate", "severe", "extreme")
 
 
 def threats(spark: SparkSession, d: str) -> DataFrame:
-    """A threat for every priority and year of orders: threat_id, severity, peak, first and last time, months."""
-    rank = F.when(F.col("peak") >= 480_000, "extreme").when(F.col("peak") >= 450_000, "severe").otherwise("moderate")
+    """A threat for every priority and year of orders: threat_id, severity (dealt by the peak's last whole digit, so that
+    all occur at every size), peak, first and last time, orders."""
+    rank = F.element_at(F.array(*map(F.lit, SEVERITIES)), (F.floor("peak") % 3 + 1).cast("int"))
     per = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.substring("o_orderpriority", 1, 1).cast("int").alias("number")).agg(
         F.max("o_totalprice").alias("peak"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count(F.lit(1)).alias("orders")
     )
@@ -234,7 +235,20 @@ def latest_alert(spark, d):
 
 def health(spark, d):
     """Stages with their flags; healthy only if every one has rows."""
-    return serving.health({n: table(spark, d, n) for n in ("events", "orders", "labels")})
+    return serving.health({"events": table(spark, d, "events"), "orders": table(spark, d, "orders"), "none": table(spark, d, "labels").where("toxic > 1")})
+
+
+def history_contract(spark, d):
+    """Broken rules of histories: the months of every customer's orders, some of them twice."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("threat_id"), F.date_trunc("month", "o_orderdate").alias("timestamp"))
+    return contracts.violations(contracts.with_previous(rows), contracts.history_rules())
+
+
+def enriched_threats(spark, d):
+    """Threats beside the mean discount of their year, which later years do not have."""
+    early = table(spark, d, "lineitem").where("l_shipdate < '1996-01-01'")
+    lookup = early.groupBy(F.year("l_shipdate").alias("year")).agg(F.round(F.avg("l_discount"), 6).alias("discount"))
+    return alignment.enrich(threats(spark, d), lookup, "year").select("threat_id", "discount")
 
 
 def footprint_variants(spark, d):
@@ -246,7 +260,7 @@ def footprint_variants(spark, d):
     return got.groupBy("o_orderpriority", "downscaled").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("area"), 3).alias("area"))
 
 
-_THREATS = """threats AS (SELECT *, CASE WHEN peak >= 480000 THEN 'extreme' WHEN peak >= 450000 THEN 'severe' ELSE 'moderate' END AS severity, 'THR-' || lpad(year::VARCHAR, 4, '0') || '-' || lpad(number::VARCHAR, 4, '0') AS threat_id
+_THREATS = """threats AS (SELECT *, CASE floor(peak)::BIGINT % 3 WHEN 0 THEN 'moderate' WHEN 1 THEN 'severe' ELSE 'extreme' END AS severity, 'THR-' || lpad(year::VARCHAR, 4, '0') || '-' || lpad(number::VARCHAR, 4, '0') AS threat_id
  FROM (SELECT year(o_orderdate) AS year, left(o_orderpriority, 1)::INT AS number, max(o_totalprice) AS peak, min(o_orderdate) AS "first", max(o_orderdate) AS "last", count(*) AS orders FROM orders GROUP BY ALL))"""
 _NODE_Z = S.OBS + ", zn AS (SELECT node_id, valid_time, (value - avg(value) OVER w) / greatest(stddev_pop(value) OVER w, 1e-6) AS z FROM obs WINDOW w AS (PARTITION BY node_id))"
 _TYPED = "t AS (" + S.OBS_BODY.format(unit="day").replace("AS valid_time,", "AS valid_time, event_type,") + ")"
@@ -281,11 +295,13 @@ SQL = {
     "alert_floor": f"WITH {_THREATS} SELECT threat_id, severity, count(*) OVER () AS total FROM threats WHERE severity IN ('severe', 'extreme')",
     "equal_alerts": f"WITH {_NODE_Z} SELECT node_id, valid_time, round(z, 6) AS z, 'moderate' AS tier, 5.0::DOUBLE AS radius FROM zn WHERE z >= 3 AND z < 4",
     "latest_alert": f"WITH {_NODE_Z} SELECT node_id, valid_time, round(round(z, 9), 6) AS z FROM zn QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY round(z, 9) DESC, valid_time) = 1",
-    "health": "SELECT 'events' AS stage, count(*) > 0 AS ok, true AS healthy FROM events UNION ALL SELECT 'orders', count(*) > 0, true FROM orders UNION ALL SELECT 'labels', count(*) > 0, true FROM labels",
+    "health": "WITH s AS (SELECT 'events' AS stage, count(*) > 0 AS ok FROM events UNION ALL SELECT 'orders', count(*) > 0 FROM orders UNION ALL SELECT 'none', count(*) > 0 FROM labels WHERE toxic > 1) SELECT stage, ok, bool_and(ok) OVER () AS healthy FROM s",
+    "history_contract": "WITH h AS (SELECT o_custkey AS k, date_trunc('month', o_orderdate) AS t FROM orders), p AS (SELECT *, lag(t) OVER (PARTITION BY k ORDER BY t) AS q FROM h) SELECT 'time_missing' AS rule, count(*) FILTER (t IS NULL) AS violations FROM p UNION ALL SELECT 'time_repeated', count(*) FILTER (t = q) FROM p UNION ALL SELECT 'key_missing', count(*) FILTER (k IS NULL) FROM p",
+    "enriched_threats": f"WITH {_THREATS}, m AS (SELECT year(l_shipdate) AS year, round(avg(l_discount), 6) AS discount FROM lineitem WHERE l_shipdate < DATE '1996-01-01' GROUP BY ALL) SELECT threat_id, discount FROM threats LEFT JOIN m USING (year)",
     "footprint_variants": "WITH o AS (SELECT *, date_trunc('month', o_orderdate) AS m FROM orders), c AS (SELECT o_orderpriority, m, round(avg(o_totalprice), 4) AS a FROM o GROUP BY ALL), f AS (SELECT o_orderpriority, m, round(avg(o_totalprice), 4) AS b FROM o WHERE o_totalprice > 400000 GROUP BY ALL) SELECT o_orderpriority, b IS NOT NULL AS downscaled, count(*) AS n, round(avg(coalesce(b, a)), 3) AS area FROM c LEFT JOIN f USING (o_orderpriority, m) GROUP BY ALL",
 }
 QUERIES = {f.__name__: f for f in (
     enum_coercion, day_ranges, colour_ramp, ring_checks, metric_directions, json_aliases, band_labels, threat_contract, score_contract, cube_contract, repeated_timestamps,
     timestamp_difference, unit_projection, time_slice, footprint_mask, coordinate_lookup, temporal_alignment, region_files, grid_mean_series, inner_split, training_cut,
-    axis_resolution, trough_frame, bump_field, wind_speed, threat_list, threat_lookup, alert_floor, equal_alerts, latest_alert, health, footprint_variants,
+    axis_resolution, trough_frame, bump_field, wind_speed, threat_list, threat_lookup, alert_floor, equal_alerts, latest_alert, health, history_contract, enriched_threats, footprint_variants,
 )}

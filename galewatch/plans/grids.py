@@ -55,6 +55,14 @@ def divergence(spark, d):
     return g.select("i", "j", F.round(F.col("di") + F.col("dj"), 4).alias("divergence"))
 
 
+def divergence_si(spark, d):
+    """Divergence of mean prices (in thousands, as eastward wind) and quantities (northward) in 1/s, by parity of the line."""
+    lines = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 10).alias("i"), (F.col("l_orderkey") % 10).alias("j"), (F.col("l_linenumber") % 2).alias("part"))
+    winds = lines.agg((F.avg("l_extendedprice") / 1000).alias("u"), F.avg("l_quantity").alias("v"))
+    field = winds.select("part", "i", "j", (20 - 0.25 * F.col("i")).alias("latitude"), (82 + 0.25 * F.col("j")).alias("longitude"), "u", "v")
+    return grids.divergence(field, "u", "v", "part").select("part", "i", "j", F.round(F.col("divergence") * 1e5, 6).alias("divergence_1e5"))
+
+
 def _rows(spark, d):
     return _pairs(spark, d).where("p is not null").select("i", "j", F.array(F.lit(1.0), F.col("p") / 1000).alias("x"), (F.col("r") / 1000).alias("y"))
 
@@ -188,6 +196,10 @@ SQL = {
 SELECT i, j, round(c, 4) AS centre, round(1 + c + sum(v - c), 4) AS total, 11::INT AS width FROM nb GROUP BY i, j, c""",
     "divergence": f"""WITH {S.FINE}, g AS (SELECT i, j, value, lag(value) OVER a AS bi, lead(value) OVER a AS ai, lag(value) OVER b AS bj, lead(value) OVER b AS aj FROM fine WINDOW a AS (PARTITION BY j ORDER BY i), b AS (PARTITION BY i ORDER BY j))
 SELECT i, j, round(coalesce((ai - bi) / 2, ai - value, value - bi) + coalesce((aj - bj) / 2, aj - value, value - bj), 4) AS divergence FROM g""",
+    "divergence_si": """WITH f AS (SELECT l_linenumber % 2 AS part, l_partkey % 10 AS i, l_orderkey % 10 AS j, avg(l_extendedprice) / 1000 AS u, avg(l_quantity) AS v FROM lineitem GROUP BY ALL),
+g AS (SELECT a.part, a.i, a.j, CASE a.j WHEN 0 THEN e.u - a.u WHEN 9 THEN a.u - w.u ELSE (e.u - w.u) / 2 END AS du, CASE a.i WHEN 0 THEN a.v - s.v WHEN 9 THEN n.v - a.v ELSE (n.v - s.v) / 2 END AS dv FROM f a
+ LEFT JOIN f e ON e.part = a.part AND e.i = a.i AND e.j = a.j + 1 LEFT JOIN f w ON w.part = a.part AND w.i = a.i AND w.j = a.j - 1 LEFT JOIN f n ON n.part = a.part AND n.j = a.j AND n.i = a.i - 1 LEFT JOIN f s ON s.part = a.part AND s.j = a.j AND s.i = a.i + 1)
+SELECT part, i, j, round((du / (0.25 * pi() / 180 * 6371000 * cos(radians(18.875))) + dv / (0.25 * pi() / 180 * 6371000)) * 1e5, 6) AS divergence_1e5 FROM g""",
     "gram_matrix": f"WITH {_PAIR}, m AS (SELECT [1.0::DOUBLE, p / 1000, r / 1000] AS v FROM pr WHERE p IS NOT NULL), ix AS (SELECT unnest(range(3))::INT AS a) SELECT x.a, y.a AS b, round(sum(v[x.a + 1] * v[y.a + 1]), 4) AS s FROM m, ix x, ix y GROUP BY ALL",
     "quantile_knots": f"WITH {_KNOT} SELECT k, round(x, 4) AS x, round(y, 4) AS y FROM knots",
     "quantile_map": f"""WITH {_KNOT}, sp AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1, lag(x) OVER (ORDER BY x) AS b FROM knots)
@@ -210,7 +222,7 @@ mv AS (SELECT valid_time, nm.dst AS node_id, sum(a * value) AS ax FROM obs JOIN
     "missing_hours": f"WITH {S.OBS_HOUR}, e AS (SELECT node_id, min(valid_time) AS a, max(valid_time) AS b FROM obs GROUP BY ALL), h AS (SELECT node_id, unnest(range(a, b + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS valid_time FROM e) SELECT node_id, count(*) AS missing FROM h ANTI JOIN obs USING (node_id, valid_time) GROUP BY ALL",
 }
 QUERIES = {f.__name__: f for f in (
-    bilinear_regrid, nearest_regrid, local_crop, target_grid, neighbourhood_features, divergence, gram_matrix, ridge_fit, quantile_knots, quantile_map, field_errors,
+    bilinear_regrid, nearest_regrid, local_crop, target_grid, neighbourhood_features, divergence, divergence_si, gram_matrix, ridge_fit, quantile_knots, quantile_map, field_errors,
     peak_preservation, percentile_error, footprint_overlap, holdout_columns, mesh_nodes, mesh_edges, graph_smoothing, persistence_skill, history_windows, feature_moments,
     domain_diagnostics, loss_weights, split_assignment, missing_hours,
 )}

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import escalation, grids, horizons, metrics, series, serving
+from ..operators import alignment, downscaling, escalation, grids, horizons, metrics, series, serving
 from ..sources import sql as S
+from ..sources.scratch import kept
 from ..sources.tables import coarse_field, fine_field, monthly_series, observations, table
 from .grids import _PAIR, _pairs
 from .series import _THR, _transition
@@ -109,12 +110,36 @@ def transition_oof(spark, d):
 
 
 def transition_serve(spark, d):
-    """The last eligible month of every series, if its out-of-fold scores are better than chance."""
-    scored = horizons.out_of_fold(_transition(spark, d), ["severity", "tendency", "radius"])
-    s = scored.select(F.col("probability").alias("p"), F.col("label").alias("y"))
-    gate = metrics.brier_skill(s).join(metrics.roc_auc(s)).select(escalation.publishable(F.col("skill"), F.col("auc")).alias("publish"))  # one row each
-    ids = scored.select("threat_id").distinct().join(F.broadcast(gate))
-    return serving.latest_publishable(scored, ids).select("threat_id", "timestamp", F.round("probability", 6).alias("probability"))
+    """The last eligible month of every series whose own out-of-fold scores are better than its base rate and than chance."""
+    scored = kept(horizons.out_of_fold(_transition(spark, d), ["severity", "tendency", "radius"]))
+    s = scored.select("threat_id", F.col("probability").alias("p"), F.col("label").alias("y"))
+    gate = metrics.brier_skill(s, "threat_id").join(metrics.roc_auc(s, group=("threat_id",)), "threat_id")
+    gate = gate.select("threat_id", escalation.publishable(F.col("skill"), F.col("auc")).alias("publish"))
+    return serving.latest_publishable(scored, gate).select("threat_id", "timestamp", F.round("probability", 6).alias("probability"))
+
+
+def _sequence(spark, d):
+    """Pairs of every second year: the mean price of a cell, and what its coarse grid gives by interpolation."""
+    lines = table(spark, d, "lineitem").withColumn("valid_time", F.date_trunc("year", "l_shipdate").cast("timestamp_ntz")).where("year(l_shipdate) % 2 = 0")
+    fine = kept(lines.groupBy("valid_time", (F.col("l_partkey") % 20).cast("long").alias("i"), (F.col("l_orderkey") % 20).cast("long").alias("j")).agg((F.avg("l_extendedprice") / 1000).alias("value")))
+    axes = [fine.select(F.col(c).cast("double").alias(f"{c}_t")).distinct() for c in ("i", "j")]
+    made = grids.bilinear(coarse_field(fine), *axes, "valid_time")
+    p = made.select("valid_time", F.col("i_t").cast("long").alias("i"), F.col("j_t").cast("long").alias("j"), F.col("value").alias("p"))
+    return kept(p.join(fine.withColumnRenamed("value", "r"), ["valid_time", "i", "j"], "left"))
+
+
+def interpolation_steps(spark, d):
+    """Errors of the interpolated field at every time, over the last columns."""
+    rows = alignment.hold_out(_sequence(spark, d), "j", 0.3).where("held_out and p is not null and r is not null").withColumnRenamed("p", "prediction")
+    return rows.groupBy("valid_time").agg(*downscaling._errors()).withColumns({c: F.round(c, 5) for c in ("rmse", "mae", "bias", "peak_preservation")})
+
+
+def downscaling_scores(spark, d):
+    """Interpolated, filtered, and filtered and mapped field on columns that no fit has seen."""
+    got = downscaling.evaluate(_sequence(spark, d))
+    if got.scores is None:
+        return spark.range(0).select(F.lit("").alias("method"), *[F.lit(None).cast(t).alias(c) for c, t in (("cells", "bigint"), ("rmse", "double"), ("mae", "double"), ("bias", "double"), ("peak_preservation", "double"))])
+    return got.scores.withColumns({c: F.round(c, 6) for c in ("rmse", "mae", "bias", "peak_preservation")})
 
 
 def weakening_flags(spark, d):
@@ -149,6 +174,10 @@ SQL = {
     "fit_quality": f"WITH {_PAIR} SELECT count(*) AS n, round(regr_r2(r / 1000, p / 1000), 5) AS r2 FROM pr WHERE p IS NOT NULL",
     "floored_prediction": f"WITH {S.FINE} SELECT i, j, round(greatest(value / 1000 - 38, 0.0), 6) AS tp, round(value / 1000 - 38, 6) AS t2m FROM fine",
     "method_comparison": f"WITH {_PAIR}, cm AS (SELECT avg(v) AS m FROM c), x AS (SELECT pr.r AS v, pr.p AS b, n.value AS ne, m FROM pr JOIN fine n ON n.i = pr.i // 2 * 2 AND n.j = pr.j // 2 * 2, cm WHERE pr.p IS NOT NULL), e AS (SELECT sqrt(avg(pow(b - v, 2))) AS br, avg(abs(b - v)) AS bm, sqrt(avg(pow(ne - v, 2))) AS nr, avg(abs(ne - v)) AS nm, sqrt(avg(pow(m - v, 2))) AS mr, avg(abs(m - v)) AS mm FROM x) SELECT 'price' AS field, 'bilinear' AS method, round(br, 4) AS rmse, round(bm, 4) AS mae, round(100 * (1 - br / nr), 4) AS improvement FROM e UNION ALL SELECT 'price', 'nearest', round(nr, 4), round(nm, 4), 0.0 FROM e UNION ALL SELECT 'price', 'mean', round(mr, 4), round(mm, 4), round(100 * (1 - mr / nr), 4) FROM e",
+    "interpolation_steps": """WITH f AS (SELECT date_trunc('year', l_shipdate)::TIMESTAMP AS t, l_partkey % 20 AS i, l_orderkey % 20 AS j, avg(l_extendedprice) / 1000 AS v FROM lineitem WHERE year(l_shipdate) % 2 = 0 GROUP BY ALL),
+k AS (SELECT *, least(i // 2 * 2, 16) AS li, least(j // 2 * 2, 16) AS lj FROM f WHERE i <= 18 AND j BETWEEN 14 AND 18), w AS (SELECT *, (i - li) / 2.0::DOUBLE AS u, (j - lj) / 2.0::DOUBLE AS s FROM k),
+p AS (SELECT w.t, w.v AS r, a.v * (1 - u) * (1 - s) + b.v * u * (1 - s) + c.v * (1 - u) * s + e.v * u * s AS p FROM w JOIN f a ON a.t = w.t AND a.i = li AND a.j = lj JOIN f b ON b.t = w.t AND b.i = li + 2 AND b.j = lj JOIN f c ON c.t = w.t AND c.i = li AND c.j = lj + 2 JOIN f e ON e.t = w.t AND e.i = li + 2 AND e.j = lj + 2)
+SELECT t AS valid_time, count(*) AS cells, round(sqrt(avg(pow(p - r, 2))), 5) AS rmse, round(avg(abs(p - r)), 5) AS mae, round(avg(p - r), 5) AS bias, round(max(p) / max(r), 5) AS peak_preservation FROM p GROUP BY t""",
     "transition_refusals": f"WITH {_THR}, {_FOLDS} SELECT threat_id, count(*) AS rows, sum(label)::BIGINT AS positives, CASE WHEN count(*) < 20 THEN 'too few rows' WHEN sum(label) < 5 THEN 'too few positives' WHEN count(*) - sum(label) < 2 THEN 'too few negatives' END AS refused FROM el GROUP BY ALL",
     "transition_folds": f"WITH {_THR}, {_FOLDS}, f AS (SELECT label AS l FROM el ORDER BY threat_id, \"timestamp\" LIMIT 1), p AS (SELECT label, (row_number() OVER (ORDER BY label <> l, label) - 1) % 5 AS fold FROM el, f) SELECT label, fold::INT AS fold, count(*) AS n FROM p GROUP BY ALL",
     "weakening_flags": f"WITH {S.SERIES}, q AS (SELECT lag(severity) OVER (PARTITION BY threat_id ORDER BY \"timestamp\") - severity AS d FROM series) SELECT 1000.0::DOUBLE AS tolerance, d IS NOT NULL AS evaluated, (d > 1000)::INT::DOUBLE AS event, count(*) AS n FROM q GROUP BY ALL UNION ALL SELECT NULL::DOUBLE, false, NULL::DOUBLE, count(*) FROM q",
@@ -156,5 +185,5 @@ SQL = {
 }
 QUERIES = {f.__name__: f for f in (
     forward_steps, horizon_frames, rollout_mean, autoregression, skill_by_type, alpha_sweep, fit_quality, radius_sweep, floored_prediction, method_comparison,
-    transition_refusals, transition_folds, transition_oof, transition_serve, weakening_flags, gate_cases,
+    transition_refusals, transition_folds, transition_oof, transition_serve, interpolation_steps, downscaling_scores, weakening_flags, gate_cases,
 )}

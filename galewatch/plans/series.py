@@ -53,6 +53,18 @@ def precursor_summary(spark, d):
     return last.select("threat_id", text.alias("summary"))
 
 
+def precursor_text(spark, d):
+    """The whole sentence about every node: its value's last step as pressure, and three other precursors made of it,
+    each unknown for some nodes."""
+    rows = series.anomaly(series.tendency(_cell_series(spark, d), "value", 1.0), "value")
+    k = F.col("threat_id").cast("int")
+    made = rows.select(
+        "threat_id", "timestamp", F.when(k % 5 != 0, F.col("tendency") / 10).alias("pressure_tendency_3h_hpa"), F.when(k % 3 != 0, F.col("tendency") * 1e-6).alias("wind_divergence_s1"),
+        F.when(k % 4 != 0, F.col("value") / 8).alias("precipitation_rate_mm3h"), F.when(k % 7 != 0, F.col("anomaly") / 6).alias("t2m_anomaly_k"),
+    )
+    return series.explanations(made)
+
+
 def _phases(spark, d):
     return series.lifecycle_phases(monthly_series(spark, d))
 
@@ -180,6 +192,13 @@ SQL = {
     "precursor_summary": f"""WITH {_SER}, m AS (SELECT threat_id, "timestamp", value - lag(value) OVER (PARTITION BY threat_id ORDER BY "timestamp") AS t, value - avg(value) OVER (PARTITION BY threat_id) AS a FROM ser),
 l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY threat_id ORDER BY "timestamp" DESC) = 1)
 SELECT threat_id, concat_ws('; ', CASE WHEN t <= -3 THEN 'rapid fall' WHEN t <= -1.5 THEN 'moderate fall' WHEN t >= 1.5 THEN 'rise' WHEN t IS NOT NULL THEN 'steady' END, CASE WHEN a >= 2 THEN 'warm anomaly' WHEN a <= -2 THEN 'cool anomaly' END) AS summary FROM l""",
+    "precursor_text": f"""WITH {_SER}, m AS (SELECT threat_id, "timestamp" AS t, threat_id::INT AS k, value, value - lag(value) OVER (PARTITION BY threat_id ORDER BY "timestamp") AS td, value - avg(value) OVER (PARTITION BY threat_id) AS an FROM ser),
+x AS (SELECT threat_id, t, CASE WHEN k % 5 <> 0 THEN td / 10 END AS p, CASE WHEN k % 3 <> 0 THEN td * 1e-6 END AS d, CASE WHEN k % 4 <> 0 THEN value / 8 END AS r, CASE WHEN k % 7 <> 0 THEN an / 6 END AS a FROM m),
+l AS (SELECT threat_id, max_by(p, t) FILTER (p IS NOT NULL) AS p, max_by(d, t) FILTER (d IS NOT NULL) AS d, max_by(r, t) FILTER (r IS NOT NULL) AS r, max_by(a, t) FILTER (a IS NOT NULL) AS a FROM x GROUP BY threat_id),
+w AS (SELECT threat_id, [y FOR y IN [CASE WHEN p < -3 THEN printf('{series._FALLS[0][1]}', p) WHEN p < -1.5 THEN printf('{series._FALLS[1][1]}', p) WHEN p > 1.5 THEN printf('{series._RISE[1]}', p) WHEN p IS NOT NULL THEN printf('{series._STEADY}', p) END,
+ CASE WHEN d < -5e-5 THEN printf('{series._CONVERGES[0][1]}', d) WHEN d < -1e-5 THEN printf('{series._CONVERGES[1][1]}', d) END, CASE WHEN r > 10 THEN printf('{series._RAIN[0][1]}', r) WHEN r > 2 THEN printf('{series._RAIN[1][1]}', r) END,
+ CASE WHEN a > 2 THEN printf('{series._WARM}', a) WHEN a < -2 THEN printf('{series._COLD}', a) END] IF y IS NOT NULL] AS y FROM l)
+SELECT threat_id, CASE len(y) WHEN 0 THEN '{series._NOTHING}' WHEN 1 THEN printf('{series._ONE}', y[1]) ELSE printf('{series._MORE}', y[1], array_to_string(y[2:], '; ')) END AS summary FROM w""",
     "lifecycle_phases": f"WITH {_PH} SELECT * FROM ph",
     "phase_change_points": f"WITH {_PH}, q AS (SELECT *, lag(phase) OVER w AS previous, row_number() OVER w AS n FROM ph WINDOW w AS (PARTITION BY threat_id ORDER BY \"timestamp\")) SELECT threat_id, \"timestamp\", previous, phase FROM q WHERE n = 1 OR phase IS DISTINCT FROM previous",
     "weakening_events": f"WITH {S.SERIES}, q AS (SELECT *, lag(severity) OVER (PARTITION BY threat_id ORDER BY \"timestamp\") - severity AS d FROM series) SELECT threat_id, \"timestamp\", round(d, 2) AS \"drop\" FROM q WHERE d > 1000",
@@ -203,7 +222,7 @@ SELECT threat_id, "timestamp", (mx >= threshold)::INT AS label FROM q WHERE seve
     "contract_violations": "SELECT 'discount_range' AS rule, count(*) FILTER (NOT l_discount BETWEEN 0 AND 0.05) AS violations FROM lineitem UNION ALL SELECT 'quantity_limit', count(*) FILTER (l_quantity > 45) FROM lineitem UNION ALL SELECT 'status', count(*) FILTER (l_linestatus NOT IN ('O')) FROM lineitem",
 }
 QUERIES = {f.__name__: f for f in (
-    tendency, anomaly_vs_mean, neighbourhood_mean, trailing_window, precursor_summary, lifecycle_phases, phase_change_points, weakening_events, escalation_threshold,
+    tendency, anomaly_vs_mean, neighbourhood_mean, trailing_window, precursor_summary, precursor_text, lifecycle_phases, phase_change_points, weakening_events, escalation_threshold,
     transition_rows, transition_fit, publish_gate, median_cadence, confusion, brier_skill, roc_auc, reliability_table, ece, lead_time_error, gate_verdicts, overall_verdict,
     severity_floor, alert_tiers, humidity, contract_violations,
 )}
