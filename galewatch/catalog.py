@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import contracts, detection, grids, horizons, series, serving, tables
+from .plans import contracts, detection, grids, horizons, roundtrips, series, serving, tables
 
-PLANS = (detection, series, grids, serving, contracts, horizons, tables)
+PLANS = (detection, series, grids, serving, contracts, horizons, tables, roundtrips)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect, tracks
 from ..sources import sql as S
+from ..sources.scratch import kept
 from ..sources.tables import observations, table, upsert
 
 THRESHOLD = 1.0
@@ -86,7 +87,7 @@ def bbox_area(spark, d):
 
 
 def _top_steps(spark, d):
-    return tracks.steps(detect.top_boxes(_boxes(spark, d)))
+    return tracks.steps(detect.top_boxes(kept(_boxes(spark, d))))
 
 
 def haversine_steps(spark, d):
@@ -102,7 +103,7 @@ def speed_steps(spark, d):
 
 
 def track_gating(spark, d):
-    boxes = _boxes(spark, d)
+    boxes = kept(_boxes(spark, d))  # labelled once for both sides
     frames = _obs(spark, d).select("valid_time").distinct()
     got = tracks.gated_pairs(boxes, frames, 400.0, None, 1.5)
     return got.select(F.col("a_valid_time").alias("valid_time"), F.col("a_label_id").alias("a"), F.col("b_label_id").alias("b"), F.round("cost_km", 4).alias("cost_km"), F.round("iou", 6).alias("iou"))
@@ -111,7 +112,7 @@ def track_gating(spark, d):
 def _tracked(spark, d):
     one = F.lit("all").alias("event")
     frames = _obs(spark, d).select("valid_time", one).distinct()
-    return tracks.track(_boxes(spark, d).select("*", one), frames, 400.0, 1, min_iou=0.0, max_dz=1.5)
+    return tracks.track(kept(_boxes(spark, d)).select("*", one), frames, 400.0, 1, min_iou=0.0, max_dz=1.5)
 
 
 def track_assign(spark, d):
@@ -131,7 +132,7 @@ def trajectory_upsert(spark, d):
 def _paired(spark, d):
     """Reference tracks by month, and predictions that miss some days, stray on others and change their id late."""
     day, odd = F.dayofmonth("valid_time"), F.month("valid_time") % 2 == 1
-    top = detect.top_boxes(_boxes(spark, d)).select("valid_time", "centroid_lat", "centroid_lon", F.concat(F.lit("T"), F.month("valid_time").cast("string")).alias("threat_id"))
+    top = detect.top_boxes(kept(_boxes(spark, d))).select("valid_time", "centroid_lat", "centroid_lon", F.concat(F.lit("T"), F.month("valid_time").cast("string")).alias("threat_id"))
     moved = top.where(day % 7 != 0).withColumn("centroid_lat", F.col("centroid_lat") + F.when(day % 5 == 0, 3.0).otherwise(0.2))
     return top, moved.withColumn("threat_id", F.concat("threat_id", F.when(odd & (day > 20), "b").otherwise("")))
 

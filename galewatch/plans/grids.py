@@ -125,8 +125,8 @@ def mesh_edges(spark, d):
 
 
 def graph_smoothing(spark, d):
-    obs = observations(spark, d)
-    return mesh.smooth(obs, mesh.edges(mesh.nodes(obs))).select("valid_time", "node_id", F.round("smoothed", 4).alias("smoothed"))
+    obs = kept(observations(spark, d))
+    return mesh.smooth(obs, kept(mesh.edges(mesh.nodes(obs)))).select("valid_time", "node_id", F.round("smoothed", 4).alias("smoothed"))
 
 
 def persistence_skill(spark, d):

@@ -52,10 +52,11 @@ def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(*key), list(key), "left_anti").select(*new.columns))
 
 
-def read_threats(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Threat records from JSON, as a bare list or below ``threats``; bad records give NULL fields."""
+def read_threats(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """Threat records from JSON, as a bare list or below ``threats``; bad records give NULL fields. With ``lines`` one
+    record a line, as ``sinks.write_records`` writes them, so that large files are split over tasks."""
     wrapped = T.StructType([T.StructField("threats", T.ArrayType(schema)), *schema.fields])
-    raw = spark.read.json(path, schema=wrapped, multiLine=True, mode="PERMISSIVE")
+    raw = spark.read.json(path, schema=wrapped, multiLine=not lines, mode="PERMISSIVE")
     inner = raw.where("threats is not null").select(F.inline("threats"))
     return inner.unionByName(raw.where("threats is null").select(*schema.fieldNames()))
 

@@ -41,7 +41,7 @@ def test_query_matches_its_oracle(spark, duck, name):
 #: Queries that SQL cannot express, and the file that recomputes each.
 RECOMPUTED = {
     "track_assign": "test_tracks", "trajectories": "test_tracks", "ridge_fit": "test_models", "autoregression": "test_models", "radius_sweep": "test_models",
-    "transition_fit": "test_models", "transition_oof": "test_models", "transition_serve": "test_models", "downscaling_scores": "test_models",
+    "transition_fit": "test_models", "transition_oof": "test_models", "transition_serve": "test_models", "downscaling_scores": "test_models", "streamed_track_ids": "test_tracks",
 }
 
 

@@ -74,6 +74,11 @@ def test_registered_tracks_are_those_of_one_walk(spark, sf):
         assert times == sorted(times) and (r["first"], r["last"]) == (times[0], times[-1])
 
 
+def test_registered_stream_gives_the_ids_of_the_table(spark):
+    got, want = (sorted(map(tuple, catalog.queries()[n](spark, "/root/testdata/sf0.001").collect())) for n in ("streamed_track_ids", "track_assign"))
+    assert got == want and got
+
+
 @pytest.fixture(scope="module")
 def points(spark):
     rng = random.Random(4)
