@@ -344,19 +344,21 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     members = signed.select("doc_id", *key).join(copied, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     members = persist_table(members)
     drop_table(copied)
-    # one document of each class goes on: those that represent themselves
-    own = members.where("rep = doc_id and n_shingles > 0").select("doc_id").distinct()
-    reps = signed.where("n_shingles > 0").join(own, "doc_id", "left_semi")
-    # of rows that share an id the one with the smallest hashes of its set stands for it
-    again, none = few(persist_table(members.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")))
+    # one row of each class goes on: that of the smallest id; copies go before rows are moved
+    first = Window.partitionBy(*key).orderBy("doc_id")
+    reps = signed.where("n_shingles > 0 and doc_id is not null").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    reps = persist_table(reps)
+    drop_table(signed)
+    # of rows that share an id, each with a set that no smaller id has, the one with the smallest hashes stands for it
+    again, none = few(persist_table(reps.groupBy("doc_id").count().where("count > 1").select("doc_id")))
     if not none:
         row = F.struct(*reps.columns)
         one = reps.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("set_a", "set_b")).alias("r")).select("r.*")
-        reps = reps.join(again, "doc_id", "left_anti").unionByName(one)
+        reps = persist_table(reps.join(again, "doc_id", "left_anti").unionByName(one))
     posted = reps.select(F.col("doc_id").alias("d"), F.posexplode("prefix").alias("i", "gram"))
-    # prefix shingles of one document only can link nothing
-    repeated = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    lists = persist_table(posted.join(repeated, "gram").select("gram", "d", "i"))
+    # prefix shingles of one document only can link nothing; counted where they are dealt, so postings move once
+    counted = posted.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    lists = persist_table(counted.where("c > 1").select("gram", "d", "i"))
     held = lists.groupBy("d").agg(F.count(F.lit(1)).alias("common"))
     size = persist_table(reps.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.size("prefix").alias("p")).join(held, "d"))
     # the share of a set's prefix that others have too: highest in the middle of a group
@@ -366,7 +368,7 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     near = size.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
     far = size.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     roots = None
-    bitmaps = signed.select("doc_id", "bits")
+    bitmaps = reps.select("doc_id", "bits")
     found: list[DataFrame] = []
     tried: DataFrame | None = None  # pairs that have been verified, whatever came of it
     for hub in ("hub1", "hub2"):
@@ -409,7 +411,7 @@ def jaccard_links(docs: DataFrame, column: str = "text", n: int = WORDS, percent
     for done in (left, lists, size):
         drop_table(done)
     found.append(verify_pairs(_bitmap_filter(pairs, bitmaps, percent), docs, column, n, percent))
-    drop_table(signed)
+    drop_table(reps)
     edges = found[0].unionByName(found[1]).unionByName(found[2])
     return members, connect(edges)
 
@@ -452,8 +454,8 @@ def near_duplicate_groups(docs: DataFrame, column: str = "text", n: int = WORDS,
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of n-word shingles
     (A-Z lower-cased). Null, empty and blank texts have an empty set and link with nothing; texts
     with fewer than n words have one shingle. Rows that share a doc_id are each returned; where
-    their texts differ, the id links through the one whose set has the smallest hashes. Rows
-    with a null doc_id come back with a null component.
+    their texts differ, the id links through that one of the sets without a smaller id that has the
+    smallest hashes. Rows with a null doc_id come back with a null component.
     """
     members, roots = jaccard_links(docs, column, n, percent)
     joined = members.join(roots, members.rep == roots.node, "left")
