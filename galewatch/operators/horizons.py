@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import kept
 from . import grids
@@ -111,8 +112,8 @@ def stratified_folds(rows: DataFrame, folds: int, order: list[str], label: str =
 
     Labels sorted by class are dealt round-robin, which fixes how many rows of each class a fold has; each
     class's rows then fill its folds one after the other. The class of the first row comes first. Places in a
-    class are counted by blocks of the order (its first column, and years of the second, unless ``block``
-    names others), so no window holds a class.
+    class are counted by blocks of the order (the values of its first column, and years or thousands of the
+    second, unless ``block`` names others), so no window holds a class.
     """
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
     if not counts:
@@ -123,7 +124,10 @@ def stratified_folds(rows: DataFrame, folds: int, order: list[str], label: str =
         size = [(at + counts[c] - 1 - f) // folds - (at - 1 - f) // folds for f in range(folds)]
         bounds[c], at = np.cumsum(size).tolist(), at + counts[c]
     if block is None:
-        block = F.struct(F.col(order[0]).alias("a"), *[F.year(c).alias("b") for c in order[1:2]])
+        dated = lambda c: isinstance(rows.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        numeric = lambda c: isinstance(rows.schema[c].dataType, T.NumericType)
+        second = [(F.year(c) if dated(c) else F.floor(F.col(c) / 1000)).alias("b") for c in order[1:2] if dated(c) or numeric(c)]
+        block = F.struct(F.col(order[0]).alias("a"), *second)
     placed = numbered(rows, Axis(tuple(order), (label,), block), "_k")
     fold = F.coalesce(*[F.when(F.col(label) == c, F.size(F.filter(F.array(*map(F.lit, b)), _below))) for c, b in bounds.items()])
     return placed.withColumn("fold", fold).drop("_k")
