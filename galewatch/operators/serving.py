@@ -71,7 +71,7 @@ def latest_publishable(rows: DataFrame, publishable: DataFrame, time: str = "tim
     return last.join(publishable.where("publish").select("threat_id"), "threat_id", "left_semi")
 
 
-def shortest(rows: DataFrame, horizon: str = "horizon_hours", by: str = "threat_id") -> DataFrame:
-    """Of each threat the row with the shortest horizon."""
-    w = Window.partitionBy(by).orderBy(horizon)
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+def shortest(rows: DataFrame, horizon: str = "horizon_hours", by: str = "threat_id", tie: str | None = None) -> DataFrame:
+    """Of each threat the row with the shortest horizon; of equal ones that with the smallest ``tie``."""
+    whole = F.struct(*[c for c in rows.columns if c != by])
+    return rows.groupBy(by).agg(F.min_by(whole, F.struct(horizon, tie) if tie else F.col(horizon)).alias("r")).select(by, "r.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect, grids, mesh, metrics
+from ..operators import alignment, detect, grids, mesh, metrics
 from ..sources import sql as S
 from ..sources.scratch import kept
 from ..sources.tables import coarse_field, fine_field, observations, table
@@ -111,9 +111,7 @@ def footprint_overlap(spark, d):
 
 def holdout_columns(spark, d):
     """Columns beyond the 70 % quantile of the distinct ones are held out."""
-    fine = fine_field(spark, d)
-    cut = fine.select("j").distinct().agg(F.percentile("j", F.lit(0.7)).alias("cut"))
-    return fine.join(F.broadcast(cut)).select("i", "j", (F.col("j") >= F.col("cut")).alias("held_out"))  # one row
+    return alignment.hold_out(fine_field(spark, d), "j", 0.3).select("i", "j", "held_out")
 
 
 def mesh_nodes(spark, d):

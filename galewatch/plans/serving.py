@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import detect
+from ..operators import detect, serving
 from ..operators.quantiles import exact_quantiles
 from ..sources import sql as S
 from ..sources.scratch import kept
@@ -57,8 +57,8 @@ def metric_union(spark, d):
 def shortest_horizon(spark, d):
     """For every supplier the shortest delay among its returned lines."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_returnflag = 'R'")
-    days = F.datediff("l_shipdate", "o_orderdate")
-    return lines.groupBy("l_suppkey").agg(F.min_by(F.struct(days.alias("days"), "l_orderkey"), F.struct(days, "l_orderkey")).alias("h")).select("l_suppkey", F.col("h.days").alias("days"), F.col("h.l_orderkey").alias("l_orderkey"))
+    waits = lines.select("l_suppkey", F.datediff("l_shipdate", "o_orderdate").alias("days"), "l_orderkey")
+    return serving.shortest(waits, "days", "l_suppkey", "l_orderkey")
 
 
 def fallback_overlay(spark, d):
