@@ -46,7 +46,7 @@ def exact_quantiles(rows: DataFrame, column: str, at: Sequence[float], limit: in
     """
     if any(not 0 <= q <= 1 for q in at):
         raise ValueError("quantiles lie between 0 and 1")
-    values = kept(rows.select(finite(F.col(column).cast("double")).alias("x")).where("x is not null"))
+    values = rows.select(finite(F.col(column).cast("double")).alias("x")).where("x is not null")
     edges: list[float] = []
     while True:
         counts = _histogram(values, edges)
@@ -64,6 +64,8 @@ def exact_quantiles(rows: DataFrame, column: str, at: Sequence[float], limit: in
         large = [b for b in wanted if counts[b][0] > limit and counts[b][1] < counts[b][2]]
         if not large:
             break
+        if not edges:
+            values = kept(values)  # what is scanned again and again is one column of its own
         fresh = set()
         for b in large:
             n, low, high = counts[b]
