@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.contracts import ContractError
 from .tables import upsert
 
 
@@ -36,20 +37,36 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/{newest['value'].split(' ')[1]}") if newest else None
 
 
+def _name_version(spark: SparkSession, path: str, number: int, name: str) -> None:
+    """Name a version under its number, unless somebody else has taken the number: the file is made only if it is new."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{number:010d}.txt")
+    fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(file.getParent())
+    try:
+        out = fs.create(file, False)
+    except Exception as e:  # noqa: BLE001  the bridge wraps what the file system throws
+        if "AlreadyExists" in str(e):
+            raise ContractError(f"another writer has made version {number} of {path}; read it and try again") from None
+        raise
+    out.writeBytes(f"{number:010d} {name}\n")
+    out.close()
+
+
 def upsert_table(new: DataFrame, path: str, *key: str) -> DataFrame:
     """Replace the rows of a table whose keys ``new`` has and keep the others.
 
-    The whole result is written as a new version first and then named in one line, so that readers see
-    either the old table or the new one, also if the write fails on the way.
+    The whole result is written as a new version first and then named in one small file, so that readers see
+    either the old table or the new one, also if the write fails on the way. Of two writers that started from
+    one version the second is refused (ContractError), where the file system can make a file only if it is new.
     """
     spark = new.sparkSession
-    old = read_table(spark, path)
+    known = _versions(spark, path)
+    newest = known.first() if known is not None else None
+    number, old = (int(newest["value"].split(" ")[0]) + 1, spark.read.parquet(f"{path}/{newest['value'].split(' ')[1]}")) if newest else (0, None)
     made = new if old is None else upsert(old, new, *key)
     name = f"v-{uuid.uuid4().hex}"
     made.write.parquet(f"{path}/{name}")
-    known = _versions(spark, path)
-    number = 0 if known is None else known.count()
-    spark.range(1).select(F.format_string("%010d %s", F.lit(number), F.lit(name)).alias("value")).coalesce(1).write.mode("append").text(f"{path}/versions")
+    _name_version(spark, path, number, name)
     return spark.read.parquet(f"{path}/{name}")
 
 

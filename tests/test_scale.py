@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from galewatch import catalog
 from galewatch.operators import components, detect, moments, quantiles, tracks
 from galewatch.operators.contracts import ContractError, Rule
-from galewatch.sources import bundles, regions, synthetic
+from galewatch.sources import bundles, regions, sinks, synthetic
 
 DATA = "/root/testdata/sf0.001"
 T0 = dt.datetime(2020, 1, 1)
@@ -115,6 +115,16 @@ def test_parts_merge_in_any_way(spark):
     assert whole["n"] == twice["n"] and abs(whole["mean"] - twice["mean"]) < 1e-12 and abs(whole["m2"] - twice["m2"]) < 1e-9
 
 
+def test_two_writers_from_one_version(spark, tmp_path):
+    path = tmp_path.as_uri() + "/table"
+    a, b = (spark.createDataFrame([(k, v)], "k int, v int") for k, v in ((1, 1), (2, 2)))
+    sinks.upsert_table(a, path, "k")
+    assert sorted(map(tuple, sinks.upsert_table(b, path, "k").collect())) == [(1, 1), (2, 2)]
+    with pytest.raises(ContractError, match="another writer has made version 1"):
+        sinks._name_version(spark, path, 1, "v-of-another")
+    assert sorted(map(tuple, sinks.read_table(spark, path).collect())) == [(1, 1), (2, 2)]
+
+
 # --- regions -----------------------------------------------------------------------------------------
 
 
