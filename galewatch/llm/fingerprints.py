@@ -70,21 +70,27 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def _ranges(docs: DataFrame) -> DataFrame:
-    """Add ``range``: documents with larger ids are in ranges with smaller numbers."""
+def _cuts(docs: DataFrame) -> tuple[list[int], int]:
+    """Ids in order, from the least to the largest, that cut the table, and the ranges between two of them."""
     stats = docs.agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx("doc_id", [i / MAX_CUTS for i in range(MAX_CUTS + 1)], 10_000).alias("cuts"),
         F.min("doc_id").alias("low"),
         F.max("doc_id").alias("high"),
     ).first()
-    cuts = sorted({*(stats["cuts"] or []), stats["low"] or 0, (stats["high"] or 0) + 1})
-    inner = max(1, min(MAX_RANGES, stats["n"] // RANGE_DOCS) // max(1, len(cuts) - 1))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts[1:-1]]), lambda c: c <= F.col("doc_id"))) if len(cuts) > 2 else F.lit(0)
+    cuts = sorted({*(stats["cuts"] or []), stats["low"] or 0, stats["high"] or 0})
+    return cuts, max(1, min(MAX_RANGES, stats["n"] // RANGE_DOCS) // max(1, len(cuts) - 1))
+
+
+def _ranges(docs: DataFrame, cuts: list[int], inner: int) -> DataFrame:
+    """Add ``range``: documents with larger ids are in ranges with smaller numbers. Ids may lie anywhere in
+    64 bits; a step between two cuts need not fit into them."""
+    bounds = F.array(*[F.lit(c).cast("long") for c in [*cuts, cuts[-1]]])
+    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts[1:]]), lambda c: c <= F.col("doc_id"))) if len(cuts) > 1 else F.lit(0)
     placed = docs.withColumn("at", at)
+    wide = lambda c: c.cast("decimal(20,0)")
     low, high = F.element_at(bounds, F.col("at") + 1), F.element_at(bounds, F.col("at") + 2)
-    share = (F.col("doc_id") - low).cast("double") / (high - low).cast("double")
+    share = (wide(F.col("doc_id")) - wide(low)).cast("double") / F.greatest((wide(high) - wide(low)).cast("double"), F.lit(1.0))
     up = F.col("at") * inner + F.least(F.floor(share * inner), F.lit(inner - 1))
     return placed.withColumn("range", F.coalesce(-up, F.lit(1)).cast("long")).drop("at")
 
@@ -98,8 +104,10 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranged = _ranges(rows)
-    firsts = _ranges(docs.select("doc_id")).groupBy("range").agg(F.max("doc_id").alias("first"))
+    # approximate quantiles may differ from one run to the next: both sides of the join take the same cuts
+    cuts = _cuts(docs.select("doc_id"))
+    ranged = _ranges(rows, *cuts)
+    firsts = _ranges(docs.select("doc_id"), *cuts).groupBy("range").agg(F.max("doc_id").alias("first"))
     ahead = Window.orderBy("range")  # at most MAX_RANGES rows, one for each range
     firsts = firsts.select(
         "range", "first", F.coalesce(F.lag("range").over(ahead), F.max("range").over(Window.partitionBy())).alias("host")

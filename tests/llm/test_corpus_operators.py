@@ -90,6 +90,30 @@ def test_next_across_ranges(spark, monkeypatch):
     assert got == {i: f"text {ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
 
 
+@pytest.mark.parametrize("ids", [(-(2**63), 2**63 - 1), (2**63 - 1, 2**63 - 2, 5, -(2**62)), (2**63 - 1,), (-(2**63), None)])
+def test_ids_at_the_ends_of_64_bits(spark, ids):
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: (r.n_chars, r.edited_sha256) for r in fingerprints.document_fingerprints(df).collect()}
+    order = sorted(ids, key=lambda i: (i is None, -(i or 0)))
+    for k, i in enumerate(order):
+        own, following = f"text of {i}", f"text of {order[(k + 1) % len(order)]}"
+        third = len(own) // 3
+        assert got[i] == (len(own), sha(own[: len(own) - third] + following[:third]))
+
+
+def test_next_with_quantiles_that_differ_between_runs(spark, monkeypatch):
+    plain, calls = F.percentile_approx, []
+
+    def shaky(column, shares, accuracy):
+        calls.append(1)
+        return plain(column, [p ** (1 + len(calls) / 3) for p in shares], accuracy)
+
+    monkeypatch.setattr(F, "percentile_approx", shaky)
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df).where("guest = 0").collect()}
+    assert got == {i: f"text {(i - 1) % 400}" for i in range(400)}
+
+
 # SentencePiece
 
 
