@@ -1,4 +1,4 @@
-"""A corpus pipeline of five operators: from raw documents to token ids.
+"""A corpus pipeline of five operators: from raw documents to token ids with their places in the text.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's docs. All but the last return the columns of documents.
@@ -52,9 +52,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and how long its decoded form is."""
-    out = pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source", "n_chars"), spans=False)
-    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.char_length("decoded").cast("long").alias("decoded_chars"))
+    """Ids of every text with the bytes of it that each piece covers, and the text that they decode to."""
+    out = pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source", "n_chars"))
+    return out.select(
+        "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends", "decoded", F.char_length("decoded").cast("long").alias("decoded_chars")
+    )
 
 
 STAGES = [

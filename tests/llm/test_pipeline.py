@@ -21,3 +21,18 @@ def test_stages_take_effect(spark, tmp_path):
     assert clean.count() == single.count() and clean.where("text rlike '[a-z0-9]@[a-z0-9]+[.]example'").count() == 0
     assert mixed.select("doc_id").distinct().count() == clean.count() <= mixed.count()
     assert encoded.count() == mixed.count() and encoded.where("n_tokens = 0 and n_chars > 0").count() == 0
+
+
+def test_last_stage_has_the_places_of_pieces_and_the_decoded_text(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.tokenizer_path("piece_bpe_32k.model"))
+    texts = ["One text, twice  spaced.", "caf\u00e9 \U0001f389 \u2581 mark", "", None, " tab\tand line\n"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, df, DATA).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        r, data = got[i], (t or "").encode()
+        assert r.ids == model.encode(t or "") and r.decoded == model.decode(r.ids)
+        assert len(r.begins) == len(r.ends) == len(r.ids) == r.n_tokens
+        assert b"".join(data[b:e] for b, e in zip(r.begins, r.ends, strict=True)) == data
