@@ -400,6 +400,30 @@ def test_recall_of_near_passages_against_brute_force(spark):
     assert docs_wanted > 100 and docs_found >= 0.97 * docs_wanted and found >= 0.97 * wanted
 
 
+@pytest.mark.parametrize("small", [None, 2])
+def test_pairs_with_one_signature_in_a_large_group(spark, monkeypatch, small):
+    """Pairs of edited copies that all share one anchor and, two by two, no other signature."""
+    if small:
+        monkeypatch.setattr(substring_dedup, "SMALL", small)
+    rng = random.Random(21)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n)]
+    shingler = ngram_join.Shingler(substring_dedup.WORDS)
+    signed = lambda w: set(substring_dedup.signatures(*shingler.ordered([" ".join(w)]), 46)[1].tolist())
+    anchors = [fresh(5) for _ in range(2000)]
+    h, _ = shingler.ordered([" ".join(a) for a in anchors])
+    anchor = anchors[int(ngram_join._mix(h ^ ngram_join._FACTORS[8]).argmin())]  # the least for the first function
+    texts = []
+    while len(texts) < 40:
+        p = fresh(23) + anchor + fresh(22)
+        q, at = list(p), rng.choice([*range(5, 19), *range(32, 45)])
+        q[at : at + 1] = fresh(1)
+        if len(signed(p) & signed(q)) == 1:
+            texts += [p, q]
+    got, roots = covered(spark, [" ".join(t) for t in texts])
+    for i in range(0, len(texts), 2):
+        assert got[i] == got[i + 1] == set(range(50)) and roots[i] == roots[i + 1] == i
+
+
 def similar_words(a, b):
     """Words of either text inside a stretch of 50 that is similar to one of the other, from its first to
     its last shingle that the other has too."""
