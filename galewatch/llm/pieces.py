@@ -187,22 +187,25 @@ def encode_documents(docs: DataFrame, model_path: str, column: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model_path, added)
-        for batch in batches:
-            for start, texts in _slices(batch, column):
-                ids = enc.encode(texts)
-                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32())
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1].as_py())
-                own = batch.slice(start, len(texts))
-                cols = [own.column(k) for k in keep] + [pa.ListArray.from_arrays(offsets, pa.array(flat))]
-                if spans:
-                    both = [enc.spans(t, x) for t, x in zip(texts, ids, strict=True)]
-                    for k in (0, 1):
-                        v = np.concatenate([b[k] for b in both]).astype(np.int32)
-                        cols.append(pa.ListArray.from_arrays(offsets, pa.array(v)))
-                else:
-                    cols += [pa.nulls(len(texts), pa.list_(pa.int32()))] * 2
-                cols.append(pa.array(enc.lib.decode(ids, num_threads=1), pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", "begins", "ends", "decoded"])
+        try:
+            for batch in batches:
+                for start, texts in _slices(batch, column):
+                    ids = enc.encode(texts)
+                    offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32())
+                    flat = np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1].as_py())
+                    own = batch.slice(start, len(texts))
+                    cols = [own.column(k) for k in keep] + [pa.ListArray.from_arrays(offsets, pa.array(flat))]
+                    if spans:
+                        both = [enc.spans(t, x) for t, x in zip(texts, ids, strict=True)]
+                        for k in (0, 1):
+                            v = np.concatenate([b[k] for b in both]).astype(np.int32)
+                            cols.append(pa.ListArray.from_arrays(offsets, pa.array(v)))
+                    else:
+                        cols += [pa.nulls(len(texts), pa.list_(pa.int32()))] * 2
+                    cols.append(pa.array(enc.lib.decode(ids, num_threads=1), pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", "begins", "ends", "decoded"])
+        finally:  # the worker goes on to other work: words are remembered for one task
+            enc.known.clear()
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keep).schema)
     del kept

@@ -1,7 +1,9 @@
 """The pipeline's stages on the smallest tables."""
 
+import pyarrow as pa
+
 import corpus_pipeline
-from galewatch.llm import ngram_join
+from galewatch.llm import ngram_join, pieces
 
 DATA = "/root/testdata/sf0.001"
 
@@ -36,3 +38,31 @@ def test_last_stage_has_the_places_of_pieces_and_the_decoded_text(spark):
         assert r.ids == model.encode(t or "") and r.decoded == model.decode(r.ids)
         assert len(r.begins) == len(r.ends) == len(r.ids) == r.n_tokens
         assert b"".join(data[b:e] for b, e in zip(r.begins, r.ends, strict=True)) == data
+
+
+def test_workers_keep_no_words_after_encoding(spark):
+    path = corpus_pipeline.tokenizer_path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(i, f"word{i} other{i}", "en", "s", 10) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.encode(spark, df, DATA).where("n_tokens > 0").count() == 200
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [len(pieces._encoder(path, None).known)]})
+
+    assert [r.n for r in df.repartition(8).select("doc_id").mapInArrow(held, "n long").collect()] == [0] * 8
+
+
+def test_join_sends_few_rows_at_once_and_gives_the_setting_back(spark, monkeypatch):
+    key, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], ngram_join.map_arrow
+
+    def spy(df, run, schema):
+        seen.append(int(spark.conf.get(key)))
+        return real(df, run, schema)
+
+    monkeypatch.setattr(ngram_join, "map_arrow", spy)
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(i, f"{text} end{i % 2}") for i in range(6)], "doc_id long, text string")
+    before = spark.conf.get(key)
+    assert {r.component_id for r in ngram_join.near_duplicate_groups(df).collect()} == {0}
+    assert len(seen) >= 4 and max(seen) <= ngram_join.ROWS and spark.conf.get(key) == before
