@@ -76,3 +76,24 @@ def test_scratch_tables_go(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(files[0]).count()
     assert common.free_name("a", spark.createDataFrame([(1, 2)], "A int, a_ int")) == "a__"
+
+
+def test_substring_dedup_leaves_no_shuffle_files_and_no_dealt_items(spark):
+    import glob
+
+    from galewatch.llm import common, substring_dedup
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    homes = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for h in homes for f in glob.glob(f"{h}/*/shuffle_*")}
+    home = common.scratch_dir(spark).removeprefix("file:").replace("///", "/")
+    before, tables, set_to = shuffles(), set(glob.glob(f"{home}/table-*")), spark.conf.get(key)
+    # one passage in 40 documents, each with a word of its own in it: more than SMALL windows of one signature
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(20)] + [f"own{i}" if k == i + 8 else f"w{k}" for k in range(60)])) for i in range(40)]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert not shuffles() - before and spark.conf.get(key) == set_to
+    left = [t for t in set(glob.glob(f"{home}/table-*")) - tables if "kind" in spark.read.parquet(t).columns]
+    assert left and all(spark.read.parquet(t).where("kind = 1").isEmpty() for t in left)
+    got = out.collect()
+    assert {r.doc_id for r in got} == set(range(40)) and {r.component_id for r in got} == {0}
+    assert all(20 <= r.start and r.end <= 80 and r.end - r.start >= 50 for r in got)
