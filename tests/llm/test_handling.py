@@ -97,3 +97,32 @@ def test_substring_dedup_leaves_no_shuffle_files_and_no_dealt_items(spark):
     got = out.collect()
     assert {r.doc_id for r in got} == set(range(40)) and {r.component_id for r in got} == {0}
     assert all(20 <= r.start and r.end <= 80 and r.end - r.start >= 50 for r in got)
+
+
+def test_substring_dedup_compares_tiles_of_two_documents_once(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from galewatch.llm import substring_dedup
+
+    seen, real = [], substring_dedup.persist_table
+
+    def watched(df):
+        made = real(df)
+        if "entries" in made.columns and "mask" not in made.schema["entries"].dataType.elementType.names:  # the last comparison
+            r = made.agg(F.count(F.lit(1)), F.countDistinct("doc_id", "other"), F.max(F.size("entries"))).first()
+            seen.append(tuple(r))
+        return made
+
+    monkeypatch.setattr(substring_dedup, "persist_table", watched)
+    rng, rows = random.Random(5), []
+    for i in range(24):  # 134 starts of stretches in each: three tiles
+        t = [f"w{k}" for k in range(183)]
+        for at in range(20 + i, 183, 37):
+            t[at] = f"own{rng.randrange(10**9)}"
+        rows.append((i, " ".join(t)))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(24)) and {r.component_id for r in got} == {0}
+    (pairs, different, most), = seen
+    assert 0 < pairs == different and most <= 9  # windows in common: some dozens
