@@ -498,6 +498,33 @@ def test_families_of_edited_copies_against_brute_force(spark):
     assert {i: r for i, r in enumerate(root) if want[i]} == roots
 
 
+def test_comparisons_that_can_add_nothing_are_left_out(spark, monkeypatch):
+    """Near copies that one text explains are not compared with one another; copies with more changes in common are."""
+    rng = random.Random(12)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    base = fresh(120)
+    texts = [list(base)] + [base[:at] + fresh(1) + base[at + 1 :] for at in range(25, 85, 4)]
+    for own in (80, 92):
+        texts.append([w if i not in (50, 60, own) else f"{'changed' if i < own else 'own'}{i}" for i, w in enumerate(base)])
+    seen, real = [], substring_dedup.persist_table
+
+    def watched(df):
+        made = real(df)
+        if "entries" in made.columns:  # the last comparison
+            seen.append({(r.doc_id, r.other) for r in made.select("doc_id", "other").collect()})
+        return made
+
+    monkeypatch.setattr(substring_dedup, "persist_table", watched)
+    got, roots = covered(spark, [" ".join(t) for t in texts])
+    want = [set() for _ in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            for d, more in zip((j, i), similar_words(texts[j], texts[i]), strict=True):
+                want[d] |= more
+    assert [got[i] for i in range(len(texts))] == want and set(roots.values()) == {0}
+    assert sum(len({16, 17} & {*p}) == 0 for p in seen[-1]) <= 15 < 15 * 14 / 2  # of the copies with one change
+
+
 # quality rules
 
 
